@@ -28,7 +28,7 @@ from .common import slices, words
 WINDOW = 16
 #: Labelled documents of each class that are sampled; half train, half calibrate.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 6000
-TOXIC_DICT, ORDINARY_DICT = 4096, 16384
+TOXIC_DICT, ORDINARY_DICT = 8192, 16384
 #: A window counts from this many bytes saved.
 LEAST_SAVED = 3
 #: A word sets toxic texts apart if it is in at least so many of them, and in so many times the share of ordinary ones.
@@ -114,7 +114,10 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
         there = np.where(known[i] == kinds, m[i], 0)
     rate, other = n / max(len(toxic[::2]), 1), (there + 0.5) / max(len(ordinary[::2]), 1)
     apart = kinds[(n >= LEAST_TEXTS) & (rate >= LEAST_RATIO * other)]
-    model = ToxicModel(_dictionary(a.hash[np.isin(a.hash, apart)], 8, TOXIC_DICT), _dictionary(b.hash, 16, ORDINARY_DICT), np.inf)
+    # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too
+    shuffled = np.random.default_rng(8)
+    passages = np.concatenate([shuffled.permutation(apart) for _ in range(8)]) if len(apart) else apart
+    model = ToxicModel(_dictionary(passages, 8, TOXIC_DICT), _dictionary(b.hash, 16, ORDINARY_DICT), np.inf)
     bad, good = (scores(model, pa.array(x[1::2], pa.string()))[0] for x in (toxic, ordinary))
     if len(bad):
         # a false alarm drops a clean text, and clean texts are many: their rate weighs three times
