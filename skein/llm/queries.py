@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import langid, simhash, toxicity
 from .common import table
 
 
@@ -20,8 +20,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}
