@@ -27,7 +27,7 @@ from .common import slices, words
 #: Words in a window.
 WINDOW = 16
 #: Labelled documents of each class that are sampled; half train, half calibrate.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 6000
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 4000
 TOXIC_DICT, ORDINARY_DICT = 8192, 16384
 #: A window counts from this many bytes saved.
 LEAST_SAVED = 3
@@ -88,14 +88,30 @@ def scores(model: ToxicModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return total / np.maximum(count, 1), np.bincount(doc, hit, minlength=len(count)).astype(np.int64), per, top
 
 
-def _in_texts(w) -> tuple[np.ndarray, np.ndarray]:
-    pair = np.unique(np.stack([w.hash, w.doc.astype(np.uint64)], 1), axis=0)
-    return np.unique(pair[:, 0], return_counts=True)
+def _sliced(texts: list[str]) -> Iterator[pa.Array]:
+    """Runs of texts small enough for the word scanner's temporaries, which are many times the text."""
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), limit=1 << 20):
+        yield part.column("text")
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, the same once per text)."""
+    every, once = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for col in _sliced(texts):
+        w = words(col, normalised=True)
+        every.append(w.hash)
+        for a, b in zip(w.first[:-1], w.first[1:]):
+            once.append(np.unique(w.hash[a:b]))
+    return np.concatenate(every), np.concatenate(once)
+
+
+def _rates(model: ToxicModel, texts: list[str]) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(scores(model, col)[0] for col in _sliced(texts))])
 
 
 def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
     """Content of a trained dictionary (its entropy tables hold for plain literals, not for hashes, and are left out)."""
-    cut = [tokens[i : i + per].tobytes() for i in range(0, max(len(tokens) - per + 1, 0), per)][:40_000]
+    cut = [tokens[i : i + per].tobytes() for i in range(0, max(min(len(tokens), 40_000 * per) - per + 1, 0), per)]
     try:
         return zstandard.train_dictionary(size, cut).as_bytes()[256:]
     except zstandard.ZstdError:  # too little text to train on: all of it, newest last
@@ -105,9 +121,9 @@ def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     """Dictionaries from every other text, the threshold from the others. Repeated texts count once."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-    a, b = words(pa.array(toxic[::2], pa.string()), True), words(pa.array(ordinary[::2], pa.string()), True)
-    kinds, n = _in_texts(a)
-    known, m = _in_texts(b)
+    kinds, n = np.unique(_word_hashes(toxic[::2])[1], return_counts=True)
+    plain, once = _word_hashes(ordinary[::2])
+    known, m = np.unique(once, return_counts=True)
     there = np.zeros(len(kinds), np.int64)
     if len(known):
         i = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
@@ -117,8 +133,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too
     shuffled = np.random.default_rng(8)
     passages = np.concatenate([shuffled.permutation(apart) for _ in range(8)]) if len(apart) else apart
-    model = ToxicModel(_dictionary(passages, 8, TOXIC_DICT), _dictionary(b.hash, 16, ORDINARY_DICT), np.inf)
-    bad, good = (scores(model, pa.array(x[1::2], pa.string()))[0] for x in (toxic, ordinary))
+    model = ToxicModel(_dictionary(passages, 8, TOXIC_DICT), _dictionary(plain, 16, ORDINARY_DICT), np.inf)
+    bad, good = _rates(model, toxic[1::2]), _rates(model, ordinary[1::2])
     if len(bad):
         # a false alarm drops a clean text, and clean texts are many: their rate weighs three times
         cuts = np.unique(np.concatenate([bad, good]))
