@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, suffix, toxicity
+from . import langid, pieces, simhash, suffix, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), check=True)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -30,6 +34,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
