@@ -27,9 +27,12 @@ from .common import _powers, mix, p_inverse, ragged, slices, string_parts
 
 #: Where the model lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Distinct words whose splits a worker keeps between batches before it starts anew.
+KEPT_WORDS = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _MARK = "▁".encode()
 _SPACE = 0x20
+_STOPS = np.frombuffer(b".!?\n", np.uint8)
 _loaded: dict[str, "Pieces"] = {}
 
 
@@ -64,6 +67,7 @@ class Pieces:
 
     def __init__(self, entries: list[tuple[str, float, int]], dummy_prefix: bool = True):
         self.dummy_prefix = dummy_prefix
+        self._forget()
         self.kinds = np.array([k for *_, k in entries], np.int8)
         self.byte_id = np.zeros(256, np.int32)
         text: list[bytes] = []
@@ -226,12 +230,12 @@ class Pieces:
             out[np.repeat(lost, many)] = self.byte_id[raw[src]]
         return out, np.bincount(row, many, minlength=n).astype(np.int64)
 
-    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts side by side, offsets). Null and empty texts have none."""
+    def _words(self, col: pa.Array) -> tuple[np.ndarray, ...]:
+        """(bytes, begin and size of each word, its hash, end of each text): a word goes from a run of marks to the next."""
         raw, offsets = string_parts(col)
         if len(raw) and (raw[:-2] == _MARK[0]).any() and _MARK in raw.tobytes():
             raw, offsets = string_parts(pa.array([None if t is None else t.replace("▁", " ") for t in col.to_pylist()], pa.string()))
-        n, size = len(col), np.diff(offsets)
+        size = np.diff(offsets)
         # the mark before each text's first word
         lead = (size > 0).astype(np.int64) * self.dummy_prefix
         start = offsets[:-1] + np.cumsum(lead) - lead
@@ -239,7 +243,7 @@ class Pieces:
         full[ragged(start + lead, size)] = raw
         ends = start + lead + size
         if not len(full):
-            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+            return full, ends[:0], ends[:0], np.zeros(0, np.uint64), ends
         space = full == _SPACE
         head = space.copy()
         head[1:] &= ~space[:-1]
@@ -252,13 +256,51 @@ class Pieces:
         with np.errstate(over="ignore"):
             np.cumsum((full.astype(np.uint64) + np.uint64(1)) * p[: len(full)], out=sums[1:])
             key = mix((sums[begin + length] - sums[begin]) * p_inverse(begin, len(full)))
-        _, one, which = np.unique(key, return_index=True, return_inverse=True)
-        ids, count = self.split_words(full, begin[one], length[one])
-        first = np.cumsum(count) - count
-        every = count[which]
-        out = ids[ragged(first[which], every)]
+        return full, begin, length, key, ends
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts side by side, offsets). Null and empty texts have none."""
+        full, begin, length, key, ends = self._words(col)
+        if not len(begin):
+            return np.zeros(0, np.int32), np.zeros(len(col) + 1, np.int64)
+        first, every = self._solved(full, key, begin, length)
         total = np.concatenate([[0], np.cumsum(every)])
-        return out, np.concatenate([[0], total[np.searchsorted(begin, ends)]])
+        return self.kept_ids[ragged(first, every)], np.concatenate([[0], total[np.searchsorted(begin, ends)]])
+
+    def sentences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each sentence, number of sentences of each text). A sentence begins at a text's first
+        word and at every word behind one that ends in . ! ? or a line break."""
+        full, begin, length, key, ends = self._words(col)
+        if not len(begin):
+            return np.zeros(0, np.int64), np.zeros(len(col), np.int64)
+        every = self._solved(full, key, begin, length)[1]
+        row = np.searchsorted(ends, begin, side="right")
+        head = np.ones(len(begin), bool)
+        head[1:] = (row[1:] != row[:-1]) | np.isin(full[begin[1:] - 1], _STOPS)
+        at = np.flatnonzero(head)
+        return np.add.reduceat(every, at), np.bincount(row[at], minlength=len(col))
+
+    def _solved(self, full: np.ndarray, key: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count) of each word's ids in kept_ids. Words solved before are looked up by their hashes."""
+        words, one, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.kept) > KEPT_WORDS:
+            self._forget()
+        at = np.searchsorted(self.kept, words)
+        new = np.ones(len(words), bool)
+        there = at < len(self.kept)
+        new[there] = self.kept[at[there]] != words[there]
+        ids, count = self.split_words(full, begin[one[new]], length[one[new]])
+        first = len(self.kept_ids) + np.cumsum(count) - count
+        self.kept_ids = np.concatenate([self.kept_ids, ids])
+        self.kept = np.insert(self.kept, at[new], words[new])
+        self.kept_first = np.insert(self.kept_first, at[new], first)
+        self.kept_count = np.insert(self.kept_count, at[new], count)
+        here = np.searchsorted(self.kept, words)[which]
+        return self.kept_first[here], self.kept_count[here]
+
+    def _forget(self) -> None:
+        self.kept, self.kept_ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.kept_first, self.kept_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts side by side, offsets). Ids outside the model are unknown pieces."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pieces, simhash, suffix, toxicity
-from .common import table
+from . import boilerplate, langid, packing, pieces, simhash, suffix, tokenstore, toxicity
+from .common import shared_dir, table
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,26 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), check=True)
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the whole table's tokens to the shared folder and returns what is read back."""
+    path = f"{shared_dir(spark)}/skein-tokens-{uuid.uuid4().hex}"
+    tokenstore.write(tokenstore.encode_with_metadata(table(spark, sf_dir, "documents")), path)
+    return spark.read.parquet(path)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -35,7 +51,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_store": op4_token_store,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
