@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, ragged, slices, string_parts, words
@@ -246,8 +246,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch
         yield from solver.finish()
 
     seen = docs.mapInArrow(mark, "h long, doc_id long, tag long, pos int")
-    often = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = seen.join(often, "h", "left_semi")
+    again = seen.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     listed = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
     reached = docs.join(listed.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "at")
     sent = reached.mapInArrow(ship, "h long, doc_id long, tag long, start int, words binary")
