@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, langid, packing, pieces, simhash, suffix, tokenstore, toxicity
+from . import boilerplate, langid, packing, pieces, rabitq, simhash, suffix, tokenstore, toxicity
 from .common import shared_dir, table
 
 
@@ -48,6 +48,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
@@ -57,5 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op10_embedding_near_dedup": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
+        SELECT id_a, id_b, round(c, 6) AS cosine FROM p WHERE c >= 0.95""",
 }
-ORACLE: dict[str, str] = {}
