@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import langid, toxicity
+from skein.llm import langid, packing, simhash, suffix, toxicity
 from skein.llm.common import stored, table
 
 
@@ -22,7 +22,28 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-STAGES = [("language_id", language_id), ("toxicity", toxic)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies."""
+    return simhash.keep_first(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that stand in an earlier document or earlier in the same one; drops what is left without words."""
+    return suffix.drop_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of tokens in document order."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("packing", pack),
+]
 #: Compression lengths, suffix order and the packing program can't be said in SQL.
 ORACLE_SQL = None
 
