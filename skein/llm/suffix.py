@@ -220,8 +220,8 @@ class _Solver:
             yield self.solve(self._joined(), False)[0]
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch_words: int = BATCH_WORDS) -> DataFrame:
-    """(doc_id, tag, cuts): the word spans of each document that repeat earlier text. docs: doc_id, tag, text."""
+def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch_words: int = BATCH_WORDS) -> DataFrame:
+    """(__id, __tag, cuts): the word spans of each document that repeat earlier text. keyed: __id, __tag, __row with text."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +235,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            listed_rows = pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__tag"), batch.column("__row").field("text"), batch.column("at")], ["doc_id", "tag", "text", "at"])
+            for part in slices(listed_rows.filter(batch.column("at").is_valid()), limit=1 << 20):
                 yield _contexts(part, min_words, gram)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +246,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch
                 yield from solver.feed(batch)
         yield from solver.finish()
 
+    docs = keyed.select(F.col("__id").alias("doc_id"), F.col("__tag").alias("tag"), F.col("__row.text").alias("text")).where("doc_id is not null and text is not null")
     seen = docs.mapInArrow(mark, "h long, doc_id long, tag long, pos int")
     again = seen.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    listed = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
-    reached = docs.join(listed.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "at")
+    listed = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "pos")).alias("at")).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    # the same join side as in _with_cuts, column for column and unfiltered, so that the texts are shuffled once for both
+    reached = keyed.join(listed.hint("shuffle_hash"), ["__id", "__tag"], "left")
     sent = reached.mapInArrow(ship, "h long, doc_id long, tag long, start int, words binary")
     spans = sent.repartition("h").sortWithinPartitions("h", "doc_id", "tag", "start").mapInArrow(solve, "doc_id long, tag long, s int, e int")
-    return spans.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
+    return spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
 
 
 def cut(col: pa.Array, cuts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -286,8 +289,7 @@ def cut(col: pa.Array, cuts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
 
 def _with_cuts(docs: DataFrame, min_words: int, batch_words: int = BATCH_WORDS) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tag"), F.struct(*docs.columns).alias("__row"))
-    narrow = keyed.select(F.col("__id").alias("doc_id"), F.col("__tag").alias("tag"), F.col("__row.text").alias("text")).where("doc_id is not null and text is not null")
-    spans = repeats(narrow, min_words, batch_words=batch_words).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "cuts")
+    spans = repeats(keyed, min_words, batch_words=batch_words)
     return keyed.join(spans.hint("shuffle_hash"), ["__id", "__tag"], "left")
 
 
@@ -302,12 +304,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, batch_words: int = BATCH_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            rows = pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__row").field("text"), batch.column("cuts")], ["doc_id", "text", "cuts"])
+            for part in slices(rows):
                 text, gone, count = cut(part.column("text"), part.column("cuts"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(count), pa.array(gone)], ["doc_id", "text", "n_words", "cut_words"])
 
-    rows = _with_cuts(docs, min_words, batch_words).select(F.col("__id").alias("doc_id"), F.col("__row.text").alias("text"), "cuts")
-    return rows.mapInArrow(run, "doc_id long, text string, n_words long, cut_words long")
+    return _with_cuts(docs.select("doc_id", "text"), min_words, batch_words).mapInArrow(run, "doc_id long, text string, n_words long, cut_words long")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -319,8 +321,9 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # null spans mean an uncut row: only rows with spans are touched
-            for part in slices(batch):
+            whole = batch.column("__row")
+            flat = pa.RecordBatch.from_arrays([*(whole.field(i) for i in range(len(names))), batch.column("cuts")], [*names, "__cuts"])
+            for part in slices(flat):
                 text, gone, count = cut(part.column("text"), part.column("__cuts"))
                 cols = [text if c == "text" else part.column(c) for c in names]
                 if "n_chars" in names:
@@ -330,5 +333,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 out = pa.RecordBatch.from_arrays(cols, names)
                 yield out.filter(pa.array((gone == 0) | (gone < count)))
 
-    rows = _with_cuts(docs, min_words).select("__row.*", F.col("cuts").alias("__cuts"))
-    return rows.mapInArrow(run, docs.schema)
+    return _with_cuts(docs, min_words).mapInArrow(run, docs.schema)
