@@ -1,14 +1,722 @@
-"""The registered queries of the search engine and their SQL."""
+"""The registered queries of the search engine and their SQL. Each runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import sql as S
+from .data import words
+from .functions import text as T
+from .functions import urls as U
+from .operators import html, index, rank, registry, retrieve, robots, topk
+from .sources.tables import seeds, table
+from .streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+c = F.col
+TOK = "WITH " + S.tokens()
+TOKP = TOK + ", " + S.POSTINGS
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages")
+
+
+def _tok(spark: SparkSession, d: str) -> DataFrame:
+    return T.tokens(_docs(spark, d))
+
+
+def _post(spark: SparkSession, d: str) -> DataFrame:
+    return index.invert(_tok(spark, d))
+
+
+# text
+
+@query(TOK + " SELECT doc_id, term, loc FROM tok")
+def text_tokens(spark, d):
+    return _tok(spark, d)
+
+
+@query(f"SELECT doc_id, (length(text) - length(regexp_replace(text, '[{S.B}]', '', 'g')))::BIGINT AS n FROM documents")
+def word_breaks(spark, d):
+    return _docs(spark, d).select("doc_id", T.count_breaks(c("text")).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {S.join_numbers('text')} AS text FROM documents")
+def number_join(spark, d):
+    return _docs(spark, d).select("doc_id", T.join_numbers(c("text")).alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(html, '&rsquo;|&apos;|[''’]', '', 'g') AS html FROM pages")
+def apostrophe_fold(spark, d):
+    return _pages(spark, d).select("page_id", T.fold_apostrophes(c("html")).alias("html"))
+
+
+@query(r"SELECT page_id, regexp_replace(html, '&[^;<\s]*;?', ' ', 'g') AS html FROM pages")
+def entity_strip(spark, d):
+    return _pages(spark, d).select("page_id", T.entities_to_space(c("html")).alias("html"))
+
+
+@query(f"SELECT doc_id, {S.glue('text')} AS text FROM documents")
+def glue_nonalnum(spark, d):
+    return _docs(spark, d).select("doc_id", T.glue(c("text")).alias("text"))
+
+
+@query(TOK + f""", m AS (SELECT *, strlen(term) > 2 AS counts, strlen(term) <= 30 AND term IN ({S.quoted(words("english_words"))}) AS ok FROM tok),
+    p AS (SELECT *, sum(CASE WHEN counts AND ok THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY loc) AS part FROM m),
+    r AS (SELECT *, sum(CASE WHEN counts AND NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY loc) AS run FROM p),
+    k AS (SELECT doc_id, min(loc) AS dead FROM r WHERE run >= 20 AND counts AND NOT ok GROUP BY doc_id)
+    SELECT tok.doc_id, term, loc FROM tok LEFT JOIN k USING (doc_id) WHERE dead IS NULL OR loc <= dead""")
+def english_run_kill(spark, d):
+    known = spark.createDataFrame([(w,) for w in words("english_words")], "word string")
+    return T.english_cut(_tok(spark, d), known)
+
+
+_STEM = "CASE " + " ".join(
+    f"WHEN ends_with(term, '{s}') AND length(term) >= {n} THEN " + (f"(CASE WHEN right(left(term, -{len(s)}), 1) = left(right(left(term, -{len(s)}), 2), 1) AND right(left(term, -{len(s)}), 1) NOT IN ('l', 's', 'z') THEN left(term, -{len(s) + 1}) ELSE left(term, -{len(s)}) END)" if s in ("ing", "ed") else f"left(term, -{len(s)})")
+    for s, n in (("ing", 6), ("ed", 5), ("ly", 5), ("ful", 6), ("ness", 7), ("es", 5), ("s", 4), ("er", 7))
+) + " ELSE term END"
+
+
+@query(TOK + f" SELECT term, {_STEM} AS stem, count(*)::BIGINT AS n FROM tok GROUP BY term")
+def stem(spark, d):
+    return _tok(spark, d).groupBy("term").agg(F.count("*").alias("n")).withColumn("stem", T.stem(c("term")))
+
+
+@query("""SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9 "|()\\-]', '', 'g') AS q FROM documents""")
+def query_sanitize(spark, d):
+    return _docs(spark, d).select("doc_id", T.sanitize_query(c("text")).alias("q"))
+
+
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS text FROM documents""")
+def html_escape(spark, d):
+    return _docs(spark, d).select("doc_id", T.html_escape(c("text")).alias("text"))
+
+
+@query("SELECT page_id, url_decode(replace(url, '+', ' ')) AS url FROM pages")
+def url_decode(spark, d):
+    return _pages(spark, d).select("page_id", T.url_decode(c("url")).alias("url"))
+
+
+@query("SELECT page_id, greatest(coalesce(try_cast(regexp_extract(url, '[?&]page=([0-9]{1,9})', 1) AS INT), 1), 1) AS page FROM pages")
+def page_number(spark, d):
+    return _pages(spark, d).select("page_id", T.page_number(F.replace("url", F.lit("page="), F.lit("p="))).alias("page"))
+
+
+# pages
+
+@query(f"SELECT page_id, {S.TITLE} AS title FROM pages")
+def page_title(spark, d):
+    return _pages(spark, d).select("page_id", html.title(c("html")).alias("title"))
+
+
+@query(r"SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages")
+def strip_comments(spark, d):
+    return _pages(spark, d).select("page_id", html.strip_comments(c("html")).alias("html"))
+
+
+@query(f"SELECT page_id, {S.STRIPPED} AS html FROM pages")
+def strip_sections(spark, d):
+    return _pages(spark, d).select("page_id", html.strip_sections(html.strip_comments(c("html"))).alias("html"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS html FROM pages")
+def strip_tags(spark, d):
+    return _pages(spark, d).select("page_id", html.strip_tags(c("html")).alias("html"))
+
+
+@query(f"WITH {S.LINKS} SELECT page_id, href, url FROM links")
+def page_links(spark, d):
+    return html.links(_pages(spark, d)).select("page_id", "href", "url")
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<embed[^>]*?src="([^"]+)"', 1)) AS src FROM pages""")
+def embed_links(spark, d):
+    return html.embeds(_pages(spark, d))
+
+
+PTOK = "WITH plain AS (SELECT page_id, " + S.PLAIN + " AS text FROM pages), " + S.tokens("plain", "page_id")
+
+
+def _ptok(spark, d):
+    return T.tokens(_pages(spark, d).select("page_id", html.plain_text(c("html")).alias("text")), "page_id")
+
+
+@query(PTOK + f", t AS (SELECT page_id, len({S.word_list(S.TITLE)})::BIGINT AS title_words FROM pages), b AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) SELECT page_id, title_words, coalesce(n, 0)::BIGINT AS body_words FROM t LEFT JOIN b ON page_id = doc_id")
+def doc_lengths(spark, d):
+    body = T.words_of(html.plain_text(c("html")))
+    return _pages(spark, d).select("page_id", F.size(T.words_of(html.title(c("html")))).cast("long").alias("title_words"), F.size(body).cast("long").alias("body_words"))
+
+
+@query()
+def html_tokens(spark, d):
+    """The exact scanner: its words, title, lengths and links."""
+    return html.scan_pages(_pages(spark, d))
+
+
+# urls
+
+def _flag(name: str, make, sql: str):
+    def run(spark, d):
+        return _pages(spark, d).select("page_id", make().alias("rejected"))
+
+    run.__name__ = name
+    query(f"SELECT page_id, {sql} AS rejected FROM pages")(run)
+
+
+_flag("url_scheme", lambda: U.bad_scheme(c("url")), "NOT regexp_matches(url, '^https?://')")
+_flag("url_bad_ext", lambda: U.bad_extension(U.bare_path(c("url"))), f"regexp_matches(lower({S.BARE_PATH}), '{S.alternation(words('bad_extensions'))}$')")
+_flag("url_has_query", lambda: U.has_query(c("url")), "contains(regexp_replace(url, '#.*$', ''), '?')")
+_flag("url_charset", lambda: U.bad_charset(F.concat(U.bare_host(c("url")), U.bare_path(c("url")))), f"NOT regexp_matches({S.BARE_HOST} || {S.BARE_PATH}, '^[A-Za-z0-9/_.:-]*$')")
+_flag("url_tld", lambda: U.bad_tld(U.bare_host(c("url"))), f"NOT (contains({S.BARE_HOST}, '.') AND list_extract(string_split({S.BARE_HOST}, '.'), -1) IN ({S.quoted(words('allowed_tlds'))}))")
+_flag("url_blocked_domain", lambda: U.blocked_domain(U.bare_host(c("url"))), f"regexp_matches({S.BARE_HOST}, '(^|\\.){S.alternation(words('blocked_domains'))}$')")
+_flag("url_locale", lambda: U.foreign_locale(U.bare_host(c("url")), U.bare_path(c("url"))), f"(length({S.BARE_HOST}) > 3 AND regexp_matches({S.BARE_HOST}, '^({'|'.join(words('foreign_codes'))})\\.')) OR (length({S.BARE_PATH}) >= 4 AND regexp_matches(lower({S.BARE_PATH}), '^/({'|'.join(words('foreign_codes'))})[/-]'))")
+_flag("url_gibberish", lambda: U.gibberish(U.bare_host(c("url"))), f"regexp_matches({S.BARE_HOST}, '[^aeiouy.]{{10}}')")
+_flag("url_junk_path", lambda: U.junk_path(U.bare_path(c("url"))), f"regexp_matches(lower({S.BARE_PATH}), '{S.alternation(words('junk_paths'))}')")
+_flag("url_depth", lambda: U.too_deep(U.bare_path(c("url"))), f"len(string_split({S.BARE_PATH}, '/')) - 1 > 8")
+_flag("url_keyword_block", lambda: U.blocked_keyword(c("url")), f"regexp_matches(lower(url), '{S.alternation(words('blocked_keywords'))}')")
+
+
+@query(rf"""WITH q AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base, string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') AS ps FROM pages),
+    k AS (SELECT page_id, base, array_to_string(list_filter(ps, lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND regexp_extract(p, '^([^=]*)', 1) NOT IN ({S.quoted(words('tracking_params'))})), '&') AS kept FROM q)
+    SELECT page_id, CASE WHEN kept <> '' THEN base || '?' || kept ELSE base END AS url FROM k""")
+def url_strip_tracking(spark, d):
+    return _pages(spark, d).select("page_id", U.strip_tracking(c("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {S.DOMAIN} AS domain FROM pages")
+def url_domain(spark, d):
+    return _pages(spark, d).select("page_id", U.domain(c("url")).alias("domain"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(?:https?://)?([^/]*)', 1) AS host FROM pages")
+def url_host(spark, d):
+    return _pages(spark, d).select("page_id", U.host(c("url")).alias("host"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS service, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/:]*:([0-9]+)', 1) AS port, regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1) AS path FROM pages")
+def url_parts(spark, d):
+    return _pages(spark, d).select("page_id", *(v.alias(k) for k, v in U.parts(c("url")).items()))
+
+
+@query(f"WITH {S.normalized()} SELECT page_id, normal AS url FROM norm")
+def url_normalize(spark, d):
+    return _pages(spark, d).select("page_id", U.normalize(c("url")).alias("url"))
+
+
+@query()
+def url_shard(spark, d):
+    return _pages(spark, d).select("page_id", U.shard(c("url"), 64).alias("shard"))
+
+
+# index
+
+@query(TOKP + " SELECT term, doc_id, array_to_string(pos, ' ') AS pos, tf FROM post")
+def inverted_index(spark, d):
+    return _post(spark, d).select("term", "doc_id", F.array_join(F.transform("pos", lambda x: x.cast("string")), " ").alias("pos"), c("tf").cast("long").alias("tf"))
+
+
+@query(TOK + " SELECT term, count(DISTINCT doc_id)::BIGINT AS n_docs FROM tok GROUP BY term")
+def term_df(spark, d):
+    return index.term_statistics(_tok(spark, d)).select("term", "n_docs")
+
+
+@query(TOK + " SELECT term, count(*)::BIGINT AS n_posts FROM tok GROUP BY term")
+def term_cf(spark, d):
+    return _tok(spark, d).groupBy("term").agg(F.count("*").alias("n_posts"))
+
+
+@query(TOK + " SELECT count(*)::BIGINT AS total FROM tok")
+def corpus_total(spark, d):
+    return _tok(spark, d).agg(F.count("*").alias("total"))
+
+
+@query(TOK + " SELECT term, round(count(*) / (SELECT count(*) FROM tok)::DOUBLE, 9) AS share FROM tok GROUP BY term")
+def term_rel_freq(spark, d):
+    n = _tok(spark, d).groupBy("term").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("term", F.round(c("n") / c("total").cast("double"), 9).alias("share"))
+
+
+@query(TOK + " SELECT term, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_posts FROM tok WHERE regexp_matches(term, '^[a-z0-9]') GROUP BY term")
+def dict_filter(spark, d):
+    return index.dictionary(_tok(spark, d))
+
+
+@query(TOK + " SELECT DISTINCT term FROM tok ORDER BY term")
+def dict_sorted(spark, d):
+    return _tok(spark, d).select("term").distinct().orderBy("term")
+
+
+@query(TOK + " SELECT left(term, 1) AS slot, min(term) AS first_term, count(DISTINCT term)::BIGINT AS n_terms FROM tok GROUP BY 1")
+def dict_toc(spark, d):
+    return index.first_letters(_tok(spark, d).select("term").distinct())
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY page_id)::BIGINT AS doc, url FROM pages")
+def doc_table(spark, d):
+    one = index.chunked(_pages(spark, d).select("page_id", "url"), 1, "page_id")
+    return one.select("page_id", (c("chunk") + 1).cast("long").alias("doc"), "url")
+
+
+@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 300)::INT AS chunk FROM documents")
+def chunk_assign(spark, d):
+    return index.chunked(_docs(spark, d).select("doc_id"), 300).select("doc_id", "chunk")
+
+
+@query(TOKP + " SELECT doc_id, tf FROM post WHERE term = 'the'")
+def term_lookup(spark, d):
+    return index.lookup(_post(spark, d), ["the"]).select("doc_id", c("tf").cast("long").alias("tf"))
+
+
+@query("WITH " + S.tokens() + " SELECT doc_id, array_to_string(ws, ' ') AS words FROM tok_w WHERE len(ws) > 0")
+def index_roundtrip(spark, d):
+    return index.rebuild(_post(spark, d)).select("doc_id", F.array_join("words", " ").alias("words"))
+
+
+@query(TOK + ", n AS (SELECT term, count(*) AS n FROM tok GROUP BY term) SELECT floor(log10(n + 0.5))::INT AS decade, count(*)::BIGINT AS n_terms, sum(n)::BIGINT AS n_posts, round(avg(n), 4) AS mean_posts FROM n GROUP BY 1")
+def posting_histogram(spark, d):
+    return index.length_histogram(_tok(spark, d).groupBy("term").agg(F.count("*").alias("n_posts")))
+
+
+# retrieval
+
+def _has(t: str) -> str:
+    return f"bool_or(term = '{t}')"
+
+
+def _phrase_sql(ws: list[str]) -> str:
+    joins = " ".join(f"JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.loc = t0.loc + {i} AND t{i}.term = '{w}'" for i, w in enumerate(ws) if i)
+    return f"SELECT DISTINCT t0.doc_id FROM tok t0 {joins} WHERE t0.term = '{ws[0]}'"
+
+
+def _search(name: str, text: str, having: str, phrases: str = ""):
+    def run(spark, d):
+        return retrieve.match(_post(spark, d), text).select("doc_id")
+
+    run.__name__ = name
+    query(f"{TOK}{phrases} SELECT doc_id FROM tok GROUP BY doc_id HAVING {having}")(run)
+
+
+_search("q_term", "the", _has("the"))
+_search("q_or", "idiot | with", f"{_has('idiot')} OR {_has('with')}")
+_search("bool_eval", "(the | of) (and | in) -with", f"({_has('the')} OR {_has('of')}) AND ({_has('and')} OR {_has('in')}) AND NOT {_has('with')}")
+_search("q_complex", "the (and | -of)", f"{_has('the')} AND ({_has('and')} OR NOT {_has('of')})")
+_PH = f", ph AS ({_phrase_sql(['of', 'the'])})"
+_search("q_phrase_not", 'and -"of the"', f"{_has('and')} AND doc_id NOT IN (SELECT doc_id FROM ph)", _PH)
+_search("q_phrase_or", '"of the" | idiot', f"{_has('idiot')} OR doc_id IN (SELECT doc_id FROM ph)", _PH)
+
+
+@query(TOK + f" SELECT doc_id FROM tok GROUP BY doc_id HAVING {_has('the')} AND {_has('and')}")
+def q_and(spark, d):
+    return retrieve.all_of(_post(spark, d), ["the", "and"]).select("doc_id")
+
+
+@query(TOKP + " SELECT a.doc_id, array_to_string(a.pos, ' ') AS p1, array_to_string(b.pos, ' ') AS p2 FROM post a JOIN post b USING (doc_id) WHERE a.term = 'the' AND b.term = 'and'")
+def q_and_positions(spark, d):
+    text = lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), " ")
+    return retrieve.all_of(_post(spark, d), ["the", "and"]).select("doc_id", text("pos_1").alias("p1"), text("pos_2").alias("p2"))
+
+
+@query(TOK + f" SELECT doc_id FROM tok GROUP BY doc_id HAVING {_has('the')} AND NOT {_has('and')}")
+def q_not(spark, d):
+    return retrieve.without(_post(spark, d), "the", "and")
+
+
+@query(TOK + " " + _phrase_sql(["the", "and"]))
+def q_phrase(spark, d):
+    return retrieve.match(_post(spark, d), '"the and"').select("doc_id")
+
+
+@query(TOK + " SELECT t0.doc_id, min(t0.loc)::INT AS loc FROM tok t0 JOIN tok t1 ON t1.doc_id = t0.doc_id AND t1.loc = t0.loc + 1 AND t1.term = 'the' WHERE t0.term = 'of' GROUP BY 1")
+def q_phrase_positions(spark, d):
+    return retrieve.phrase(_post(spark, d), ["of", "the"])
+
+
+@query(TOKP + ", a AS (SELECT doc_id, pos FROM post WHERE term = 'idiot'), b AS (SELECT doc_id, pos FROM post WHERE term = 'the') SELECT doc_id, coalesce(array_to_string(a.pos, ' '), '') AS p1, coalesce(array_to_string(b.pos, ' '), '') AS p2 FROM a FULL JOIN b USING (doc_id)")
+def match_positions(spark, d):
+    q = "idiot | the"
+    found = retrieve.positions(retrieve.match(_post(spark, d), q), q)
+    text = lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), " ")
+    return found.select("doc_id", text(c("places")[0]).alias("p1"), text(c("places")[1]).alias("p2"))
+
+
+@query(TOK + ", m AS (SELECT doc_id, floor(doc_id / 300)::BIGINT AS chunk FROM tok WHERE term = 'the' GROUP BY doc_id) SELECT chunk, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id) <= 100")
+def match_cap(spark, d):
+    """The cap of matches before ranking (2000 a chunk by default; 100 here so that it acts on small tables)."""
+    m = retrieve.match(_post(spark, d), "the").select("doc_id", F.floor(c("doc_id") / 300).alias("chunk"))
+    return retrieve.capped(m, 100, "chunk").select("chunk", "doc_id")
+
+
+# ranking, over pages
+
+WORDS = ["the", "of"]
+_CAND = PTOK + ", " + S.POSTINGS + rf""",
+    a0 AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>[^<]*</a>', 0)) AS a FROM pages),
+    a1 AS (SELECT page_id, regexp_extract(a, '(?is)>([^<]*)</a>$', 1) AS t FROM a0),
+    a2 AS (SELECT page_id, unnest({S.word_list('t')}) AS word FROM a1),
+    a3 AS (SELECT page_id, count(*)::DOUBLE AS total, count(DISTINCT word)::DOUBLE AS kinds FROM a2 GROUP BY page_id),
+    n AS (SELECT doc_id, count(*) AS doc_len FROM tok GROUP BY doc_id),
+    df AS (SELECT (SELECT count(*) FROM post WHERE term = 'the')::DOUBLE AS d1, (SELECT count(*) FROM post WHERE term = 'of')::DOUBLE AS d2),
+    w AS (SELECT d1, d2, 1 / (1 + ln(1 + d1)) AS r1, 1 / (1 + ln(1 + d2)) AS r2, -ln(1 + d1) AS x1, -ln(1 + d2) AS x2 FROM df),
+    cand AS (SELECT p.page_id, p.url, {S.TITLE} AS title, doc_len::DOUBLE AS doc_len, (count(*) OVER (PARTITION BY regexp_extract(p.url, '^(?:https?://)?(?:www\.)?([^/]*)', 1)))::DOUBLE AS n_seen,
+        (length(p.url) - length(replace(p.url, '/', '')) - 2) AS seed_distance, (CASE WHEN starts_with(p.url, 'https') THEN 0 ELSE 1 END) AS domain_dist,
+        coalesce(total, 0) AS total, coalesce(kinds, 0) AS kinds, p1.pos AS A, p2.pos AS B, w.*,
+        lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*(.*)$', 1)) AS tail,
+        lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]*)', 1)) AS slug
+        FROM pages p JOIN n ON n.doc_id = p.page_id JOIN post p1 ON p1.doc_id = p.page_id AND p1.term = 'the' JOIN post p2 ON p2.doc_id = p.page_id AND p2.term = 'of' LEFT JOIN a3 ON a3.page_id = p.page_id CROSS JOIN w)"""
+
+
+def _hit(x: str, y: str) -> str:
+    return f"((CASE WHEN {x} THEN r1 ELSE 0 END) + (CASE WHEN {y} THEN r2 ELSE 0 END)) / (r1 + r2)"
+
+
+_HOST = _hit("contains(host, 'the')", "contains(host, 'of')")
+_SLUG = lambda t: f"(NOT contains(slug, ':') AND (slug = '{t}' OR starts_with(slug, '{t}-') OR starts_with(slug, '{t}_') OR starts_with(slug, '{t}.')))"
+_NEAR = "list_sum([0.0::DOUBLE] || list_transform(A, lambda p: CASE WHEN list_min(list_transform(B, lambda x: abs(p - x))) BETWEEN 1 AND 20 THEN 1.0::DOUBLE / list_min(list_transform(B, lambda x: abs(p - x))) ELSE 0.0::DOUBLE END))"
+_W1, _W2 = (f"(CASE WHEN x1 = x2 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE + 0.8::DOUBLE * ({x} - least(x1, x2)) / (greatest(x1, x2) - least(x1, x2)) END)" for x in ("x1", "x2"))
+FACTOR_SQL = {
+    "proximity": f"CASE WHEN doc_len > 0 THEN least(greatest(ln(1 + {_NEAR}) / ln(1 + least(len(A), len(B))::DOUBLE), 0), 1) ELSE 0 END",
+    "times_seen": "1 / (1 + exp(-0.06 * (n_seen - 40)))",
+    "title": _hit("contains(lower(title), 'the')", "contains(lower(title), 'of')") + " * exp(-0.01 * strlen(title))",
+    "anchor": "CASE WHEN kinds > 0 AND total > 0 THEN (ln(1 + total) / (ln(1 + total) + 2)) * (kinds / (kinds + 2)) ELSE 0 END",
+    "path": _hit("contains(tail, 'the')", "contains(tail, 'of')") + " * exp(-0.01 * strlen(url))",
+    "rarity_freq": f"0.1 + 0.9 * ({_W1} * (1 - exp(-0.2 * len(A))) + {_W2} * (1 - exp(-0.2 * len(B)))) / ({_W1} + {_W2})",
+    "phrase_bonus": "1 - exp(-0.5 * len(list_intersect(list_transform(A, lambda x: x + 1), B)))",
+    "early": "(r1 * least(greatest(1 - list_min(A) / doc_len, 0), 1) + r2 * least(greatest(1 - list_min(B) / doc_len, 0), 1)) / (r1 + r2)",
+    "host": _HOST,
+    "slug": f"{_hit(_SLUG('the'), _SLUG('of'))} * ({_HOST})",
+    "homepage": f"CASE WHEN tail IN ('', '/') THEN {_HOST} ELSE 0 END",
+    "label": "list_sum(list_transform(string_split(host, '.'), lambda x: CASE WHEN x = 'the' THEN r1 WHEN x = 'of' THEN r2 ELSE 0 END)) / (r1 + r2)",
+}
+_REST = "substring(url, 9)"
+_SH, _ST = f"regexp_extract({_REST}, '^([^/?#:]*)', 1)", f"regexp_extract({_REST}, '^[^/?#:]*(.*)$', 1)"
+STATIC_SQL = f"""(7 * greatest(exp(-0.08 * (domain_dist + 1)), 0.05) + 4 * ({S.tld(f"regexp_extract({_SH}, '([^.]*)$', 1)", 0.2)}) + greatest(exp(-0.04 * (seed_distance + 1)), 0.05)
+    + 3 * greatest((50.0 - strlen({_SH})) / 50.0::DOUBLE, 0.2) + 3 / (1 + 0.1::DOUBLE * (length({_SH}) - length(replace({_SH}, '.', '')))) + 2 / (1 + 0.15::DOUBLE * (length({_SH}) - length(regexp_replace({_SH}, '[0-9]', '', 'g'))))
+    + 3 * greatest((150.0::DOUBLE - strlen(url)) / 100.0, 0.2) + 4 * greatest(1.0 - 0.1::DOUBLE * (length({_ST}) - length(replace({_ST}, '/', ''))), 0.2) + 3 * (CASE WHEN contains({_ST}, '?') THEN 0 ELSE 1 END)) / 30.0"""
+DYNAMIC_SQL = "(" + " + ".join(f"{rank.WEIGHTS[k]} * ({v})" for k, v in FACTOR_SQL.items()) + ") / 114.0"
+TOTAL_SQL = f"({STATIC_SQL}) * 0.28::DOUBLE + ({DYNAMIC_SQL}) * 0.72::DOUBLE"
+
+
+def _registry(spark, d) -> DataFrame:
+    """Registry rows of the pages themselves; their own links' words stand in for anchors."""
+    p = _pages(spark, d)
+    anchors = html.anchor_words(p).groupBy("page_id", "word").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("anchor_freqs"))
+    url = c("url")
+    rows = p.select(
+        "page_id", "url", html.title(c("html")).alias("title"), F.count("*").over(Window.partitionBy(U.domain(url))).alias("n_seen"),
+        (F.length(url) - F.length(F.replace(url, F.lit("/"), F.lit(""))) - 2).alias("seed_distance"), F.when(url.startswith("https"), 0).otherwise(1).alias("domain_dist"),
+    )
+    return rows.join(anchors, "page_id", "left").withColumn("anchor_freqs", F.coalesce("anchor_freqs", F.create_map().cast("map<string,bigint>")))
+
+
+def _ranked(spark, d, text: str = "the of") -> tuple[DataFrame, list[str], list[int]]:
+    """Candidates of a query over pages, its words, and their document frequencies."""
+    from .plans import query as Q
+
+    tok = _ptok(spark, d)
+    post = index.invert(tok)
+    ws = Q.positive_words(Q.parse(text))
+    have = {r.term: r.n for r in index.lookup(post, ws).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    found = retrieve.positions(retrieve.match(post, text), text)
+    lengths = tok.groupBy("doc_id").agg(F.count("*").alias("doc_len"))
+    rows = found.join(lengths, "doc_id").withColumnRenamed("doc_id", "page_id").join(_registry(spark, d), "page_id")
+    return rows, ws, [have.get(w, 0) for w in ws]
+
+
+def _score(name: str, key: str):
+    def run(spark, d):
+        rows, ws, fs = _ranked(spark, d)
+        return rows.select("page_id", F.round(rank.factors(ws, fs)[key], 6).alias("score"))
+
+    run.__name__ = name
+    query(f"{_CAND} SELECT page_id, round({FACTOR_SQL[key]}, 6) AS score FROM cand")(run)
+
+
+for _k in FACTOR_SQL:
+    _score(f"score_{_k}", _k)
+
+
+@query(f"{_CAND} SELECT page_id, round({DYNAMIC_SQL}, 6) AS score FROM cand")
+def score_dynamic(spark, d):
+    rows, ws, fs = _ranked(spark, d)
+    return rows.select("page_id", F.round(rank.dynamic_score(ws, fs), 6).alias("score"))
+
+
+@query(f"{_CAND} SELECT page_id, round({STATIC_SQL}, 6) AS score FROM cand")
+def score_static(spark, d):
+    rows, *_ = _ranked(spark, d)
+    return rows.select("page_id", F.round(rank.static_score(c("url"), c("seed_distance"), c("domain_dist")), 6).alias("score"))
+
+
+@query(f"{_CAND} SELECT page_id, round({TOTAL_SQL}, 6) AS score FROM cand")
+def score_total(spark, d):
+    rows, ws, fs = _ranked(spark, d)
+    return rows.select("page_id", F.round(rank.total_score(ws, fs), 6).alias("score"))
+
+
+@query(TOKP + """, n AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM post WHERE term IN ('the', 'of') GROUP BY term), t AS (SELECT count(*) AS nd FROM n)
+    SELECT doc_id, round(sum(ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 500.0))), 6) AS score FROM post JOIN df USING (term) JOIN n USING (doc_id) CROSS JOIN t GROUP BY doc_id""")
+def score_bm25(spark, d):
+    tok = _tok(spark, d)
+    lengths = tok.groupBy("doc_id").agg(F.count("*").alias("dl"))
+    hits = index.lookup(index.invert(tok), WORDS).select("term", "doc_id", c("tf").cast("double").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    total = lengths.agg(F.count("*").alias("nd"))
+    rows = hits.join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))
+    return rows.groupBy("doc_id").agg(F.round(F.sum(rank.bm25(c("tf"), c("dl"), c("df"), c("nd"))), 6).alias("score"))
+
+
+_LINKED = f"WITH {S.LINKS}, store AS (SELECT lower(url) AS url, count(*)::BIGINT AS n FROM links GROUP BY 1)"
+
+
+@query(f"{_LINKED} SELECT p.page_id, n FROM pages p JOIN store s ON s.url = lower(p.url) WHERE NOT regexp_matches({S.BARE_HOST.replace('url', 'p.url')}, '[^aeiouy.]{{10}}')")
+def enrich_candidates(spark, d):
+    """Candidates with their registry row; those without one, and those on gibberish hosts, go."""
+    p = _pages(spark, d)
+    store = html.links(p).groupBy(F.lower("url").alias("key")).agg(F.count("*").alias("n"))
+    return p.where(~U.gibberish(U.bare_host(c("url")))).select("page_id", F.lower("url").alias("key")).join(store, "key").select("page_id", "n")
+
+
+@query(f"{_LINKED} SELECT count(*)::BIGINT AS total, count(*) FILTER (s.url IS NULL)::BIGINT AS misses FROM pages p LEFT JOIN store s ON s.url = lower(p.url)")
+def registry_miss_rate(spark, d):
+    p = _pages(spark, d)
+    store = html.links(p).select(F.lower("url").alias("key")).distinct().withColumn("there", F.lit(1))
+    return p.select(F.lower("url").alias("key")).join(store, "key", "left").agg(F.count("*").alias("total"), F.count_if(c("there").isNull()).alias("misses"))
+
+
+# top k
+
+_SCORED = f"{_CAND}, s AS (SELECT page_id, url, page_id % 4 AS chunk, round({TOTAL_SQL}, 6) AS score FROM cand)"
+
+
+def _scored(spark, d) -> DataFrame:
+    rows, ws, fs = _ranked(spark, d)
+    return rows.select("page_id", "url", (c("page_id") % 4).alias("chunk"), F.round(rank.total_score(ws, fs), 6).alias("score"))
+
+
+@query(f"{_SCORED} SELECT chunk, url, score, row_number() OVER (PARTITION BY chunk ORDER BY score DESC, url)::INT AS rank FROM s QUALIFY rank <= 10")
+def topk_per_chunk(spark, d):
+    return topk.top_per(_scored(spark, d), "chunk").select("chunk", "url", "score", "rank")
+
+
+@query(f"{_SCORED} SELECT url, score FROM s ORDER BY score DESC, url LIMIT 10")
+def topk_global(spark, d):
+    return topk.top(_scored(spark, d)).select("url", "score")
+
+
+@query(f"{_SCORED} SELECT url, score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY score DESC, url) <= 10) ORDER BY score DESC, url LIMIT 10")
+def merge_topk(spark, d):
+    best = topk.top_per(_scored(spark, d), "chunk").select("url", "score", "chunk")
+    return topk.merge([best.where(c("chunk") == i).drop("chunk") for i in range(4)])
+
+
+@query(f"{_SCORED} SELECT url, score FROM s ORDER BY score DESC, url LIMIT 10 OFFSET 10")
+def paginate(spark, d):
+    return topk.page(_scored(spark, d), 2).select("url", "score")
+
+
+# registry and frontier
+
+@query(f"SELECT page_id, {S.priority('url', 'page_id % 60', 'page_id % 30')} AS priority FROM pages")
+def priority_score(spark, d):
+    return _pages(spark, d).select("page_id", registry.priority(c("url"), c("page_id") % 60, c("page_id") % 30).alias("priority"))
+
+
+@query(f"SELECT page_id, {S.bucket(S.priority('url', 'page_id % 60', 'page_id % 30'))} AS bucket FROM pages")
+def priority_bucket(spark, d):
+    return _pages(spark, d).select("page_id", registry.bucket(registry.priority(c("url"), c("page_id") % 60, c("page_id") % 30)).alias("bucket"))
+
+
+def _updates(spark, d) -> DataFrame:
+    """Link updates of all pages: a row a link, with its words."""
+    p = _pages(spark, d)
+    ws = html.anchor_words(p).groupBy("page_id", "href").agg(F.collect_list("word").alias("anchors"))
+    hops = registry.with_hops(html.links(p))
+    rows = hops.join(ws, ["page_id", "href"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
+    return rows.select("url", "anchors", F.lit(1).cast("long").alias("num_encountered"), (c("seed_hops") + c("page_id") % 3).cast("int").alias("seed_distance"), c("domain_hops").alias("domain_dist"))
+
+
+_UPD = rf"""WITH {S.LINKS}, upd AS (SELECT lower(url) AS url, page_id, 1 + page_id % 3 AS sd, ({S.DOMAIN.replace('(url,', '(src_url,')} <> {S.DOMAIN})::INT AS dd FROM links),
+    base AS (SELECT url, count(*)::BIGINT AS num_encountered, min(sd)::INT AS seed_distance, min(dd)::INT AS domain_dist FROM upd GROUP BY url)"""
+
+
+@query(f"{_UPD} SELECT url, num_encountered, seed_distance, domain_dist FROM base")
+def registry_upsert(spark, d):
+    return registry.upsert(_updates(spark, d)).select("url", "num_encountered", "seed_distance", "domain_dist")
+
+
+@query(f"{_UPD} SELECT url FROM base WHERE {S.bucket(S.priority('url', 'seed_distance', 'domain_dist'))} < 8 AND NOT regexp_matches(url, '{S.alternation(words('blocked_keywords'))}')")
+def registry_insert_filter(spark, d):
+    return registry.insertable(registry.upsert(_updates(spark, d))).select("url")
+
+
+@query(rf"""WITH a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>[^<]*</a>', 0)) AS a FROM pages),
+    a1 AS (SELECT page_id, url AS src, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href, regexp_extract(a, '(?is)>([^<]*)</a>$', 1) AS t FROM a0),
+    a2 AS (SELECT page_id, href, lower(CASE WHEN starts_with(href, '/') THEN regexp_extract(src, '^[^:]+://[^/]*', 0) || href ELSE href END) AS url, unnest({S.word_list('t')}) AS word FROM a1)
+    , l AS (SELECT page_id, href, count(*) AS k FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"', 1)) AS href FROM pages) GROUP BY 1, 2)
+    SELECT url, word, sum(k)::BIGINT AS n FROM a2 JOIN l USING (page_id, href) GROUP BY url, word QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, word) <= 64""")
+def anchor_freqs(spark, d):
+    return registry.upsert(_updates(spark, d)).select("url", F.explode("anchor_freqs").alias("word", "n"))
+
+
+@query(f"{_UPD} SELECT p.page_id, b.num_encountered IS NOT NULL AS known, coalesce(b.num_encountered, 0)::BIGINT AS num_encountered, coalesce(b.seed_distance, 65535)::INT AS seed_distance FROM pages p LEFT JOIN base b ON b.url = lower(p.url)")
+def registry_lookup(spark, d):
+    """Point lookups of all pages: known, encounters, distance (65535 where unknown)."""
+    store = registry.upsert(_updates(spark, d)).withColumnRenamed("url", "key")
+    got = _pages(spark, d).select("page_id", F.lower("url").alias("key")).join(store, "key", "left")
+    return got.select("page_id", c("num_encountered").isNotNull().alias("known"), F.coalesce("num_encountered", F.lit(0).cast("long")).alias("num_encountered"), F.coalesce("seed_distance", F.lit(65535)).alias("seed_distance"))
+
+
+@query(f"{_UPD}, t AS (SELECT url, max(page_id)::BIGINT AS crawl FROM upd WHERE page_id % 2 = 0 GROUP BY url) SELECT url, num_encountered, coalesce(crawl, -1)::BIGINT AS crawl FROM base LEFT JOIN t USING (url)")
+def registry_update(spark, d):
+    """Point updates: the last even page that links to each URL is set as its crawl mark."""
+    store = registry.upsert(_updates(spark, d)).select("url", "num_encountered", F.lit(-1).cast("long").alias("crawl"))
+    changes = html.links(_pages(spark, d)).where(c("page_id") % 2 == 0).groupBy(F.lower("url").alias("url")).agg(F.max("page_id").alias("crawl"))
+    return registry.update_fields(store, changes, ["crawl"])
+
+
+@query(f"{_UPD} SELECT count(DISTINCT url)::BIGINT AS distinct_urls, count(*)::BIGINT AS seen_urls FROM upd")
+def url_counts(spark, d):
+    return html.links(_pages(spark, d)).agg(F.count_distinct(F.lower("url")).alias("distinct_urls"), F.count("*").alias("seen_urls"))
+
+
+@query(f"{_UPD}, known AS (SELECT DISTINCT lower(url) AS url FROM links WHERE page_id % 2 = 0), f AS (SELECT *, {S.bucket(S.priority('url', 'seed_distance', 'domain_dist'))} AS bucket FROM base) SELECT url, bucket FROM f WHERE bucket < 8 AND NOT regexp_matches(url, '{S.alternation(words('blocked_keywords'))}') AND url NOT IN (SELECT url FROM known)")
+def new_urls(spark, d):
+    """URLs that all pages' links bring to a registry which knows those of even pages."""
+    store = html.links(_pages(spark, d)).where(c("page_id") % 2 == 0).select(F.lower("url").alias("url")).distinct()
+    return registry.unseen(_updates(spark, d), store).select("url", "bucket")
+
+
+@query(f"WITH {S.LINKS} SELECT page_id, url, 1 AS seed_hops, ({S.DOMAIN.replace('(url,', '(src_url,')} <> {S.DOMAIN})::INT AS domain_hops FROM links")
+def link_hops(spark, d):
+    return registry.with_hops(html.links(_pages(spark, d))).select("page_id", "url", "seed_hops", "domain_hops")
+
+
+_FRONT = f"WITH f AS (SELECT page_id, url, {S.DOMAIN} AS domain, {S.bucket(S.priority('url', 'page_id % 60', 'page_id % 30'))} AS bucket FROM pages)"
+
+
+def _frontier(spark, d) -> DataFrame:
+    p = registry.priority(c("url"), c("page_id") % 60, c("page_id") % 30)
+    return _pages(spark, d).select("page_id", "url", U.domain(c("url")).alias("domain"), registry.bucket(p).alias("bucket"))
+
+
+@query(f"{_FRONT} SELECT url, bucket, row_number() OVER (PARTITION BY bucket ORDER BY page_id DESC)::INT AS place FROM f WHERE bucket < 8")
+def frontier_order(spark, d):
+    """Pop order: best bucket first, inside one the last that came."""
+    w = Window.partitionBy("bucket").orderBy(F.desc("page_id"))
+    return _frontier(spark, d).where("bucket < 8").select("url", "bucket", F.row_number().over(w).alias("place"))
+
+
+@query(f"{_FRONT} SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY bucket, url)::INT AS slot FROM f QUALIFY slot <= 32")
+def carousel_cap(spark, d):
+    return registry.per_domain(_frontier(spark, d), 32).select("domain", "url", "slot")
+
+
+@query(f"{_FRONT} SELECT url, bucket FROM f WHERE bucket = (SELECT min(bucket) FROM f)")
+def feed_highest_bucket(spark, d):
+    return registry.best_bucket(_frontier(spark, d)).select("url", "bucket")
+
+
+@query(f"WITH {S.LINKS} SELECT url, count(*)::BIGINT AS n, min(page_id)::BIGINT AS first_page FROM links GROUP BY url")
+def frontier_dedup(spark, d):
+    return html.links(_pages(spark, d)).groupBy("url").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("SELECT unnest([" + S.quoted(words("seeds")) + "]) AS url, 0 AS bucket")
+def seed_frontier(spark, d):
+    return seeds(spark).select("url", "bucket")
+
+
+# robots, crawl loop, metrics
+
+ROBOTS = "User-agent: *\nDisallow: /fr/\nDisallow: /*?page=\nAllow: /fr/1*\nCrawl-delay: 2\n\nUser-agent: skein\nUser-agent: other\nAllow: /de/*5$\nDisallow: /de/\n"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1)"
+_ALLOWED = f"""CASE WHEN regexp_matches({_PATH}, '^de/.*5$') THEN TRUE WHEN regexp_matches({_PATH}, '^.*\\?page=') AND NOT regexp_matches({_PATH}, '^fr/1') AND NOT regexp_matches({_PATH}, '^de/') THEN FALSE
+    WHEN regexp_matches({_PATH}, '^.*\\?page=') THEN FALSE WHEN regexp_matches({_PATH}, '^fr/1') THEN TRUE WHEN regexp_matches({_PATH}, '^(fr|de)/') THEN FALSE ELSE TRUE END"""
+
+
+def _allowed(spark, d) -> DataFrame:
+    p = _pages(spark, d).select("page_id", "url", *(U.parts(c("url"))[k].alias(k) for k in ("host", "path")))
+    files = p.select("host").distinct().withColumn("body", F.lit(ROBOTS))
+    return robots.decide(p, robots.rules(files), "skein/1.0")
+
+
+@query(f"SELECT page_id, {_ALLOWED} AS allowed FROM pages")
+def robots_decide(spark, d):
+    return _allowed(spark, d).select("page_id", "allowed")
+
+
+@query(f"{_FRONT} SELECT url, ((row_number() OVER (PARTITION BY domain ORDER BY bucket, url) - 1) * 2)::INT AS start_s FROM f")
+def polite_schedule(spark, d):
+    return registry.polite(_frontier(spark, d)).select("url", c("start_s").cast("int").alias("start_s"))
+
+
+@query(f"SELECT page_id FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(lower(url), '{S.alternation(words('blocked_keywords'))}') AND page_id % 5 <> 0 AND {_ALLOWED} AND strlen(html) >= 3072")
+def crawl_filter_chain(spark, d):
+    """What a worker lets through: https, no blocked keyword, not crawled (every fifth page is), allowed, not thin."""
+    p = _pages(spark, d).where(c("url").startswith("https://") & ~U.blocked_keyword(c("url")))
+    crawled = _pages(spark, d).where(c("page_id") % 5 == 0).select("page_id")
+    return p.join(crawled, "page_id", "left_anti").join(_allowed(spark, d).where("allowed").select("page_id"), "page_id", "left_semi").where(F.octet_length("html") >= 3072).select("page_id")
+
+
+def _events(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 3) AS total, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
+def metric_totals(spark, d):
+    return metrics.totals(_events(spark, d)).select("event_type", "n", F.round("total", 3).alias("total"), F.round("mean", 4).alias("mean"))
+
+
+@query("""WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 20) * 20)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1, 2)
+    SELECT start, event_type, n, round(total, 4) AS total, n / 20.0::DOUBLE AS per_second, (sum(n) OVER (PARTITION BY event_type ORDER BY start))::BIGINT AS so_far FROM w""")
+def metric_rates(spark, d):
+    """Counts and rates in intervals of 20 seconds, and the count so far."""
+    r = metrics.rates(_events(spark, d))
+    w = Window.partitionBy("event_type").orderBy("start")
+    return r.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "per_second", F.sum("n").over(w).alias("so_far"))
+
+
+@query(f"{_FRONT}, k AS (SELECT bucket, domain, count(*) AS n FROM f GROUP BY ALL) SELECT bucket, sum(n)::BIGINT AS n, count(*)::BIGINT AS domains, max(n)::BIGINT AS deepest FROM k GROUP BY bucket")
+def frontier_health(spark, d):
+    per = _frontier(spark, d).groupBy("bucket", "domain").agg(F.count("*").alias("n"))
+    return per.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("domains"), F.max("n").alias("deepest"))
+
+
+def search(spark: SparkSession, sf_dir: str, text: str, page: int = 1) -> DataFrame:
+    """Ranked search over pages: url, title, score of one page of results; none if the query doesn't parse."""
+    from .plans import query as Q
+
+    try:
+        tree = Q.parse(text)
+    except Q.QueryParseError:
+        tree = None
+    if tree is None or not Q.drivable(tree):
+        return spark.createDataFrame([], "url string, title string, score double")
+    rows, ws, fs = _ranked(spark, sf_dir, text)
+    scored = rows.select("url", "title", rank.total_score(ws, fs).alias("score"))
+    return topk.page(scored, page)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Ranked search for two common words."""
+    return search(spark, sf_dir, "the and")
