@@ -377,12 +377,13 @@ _CAND = PTOK + ", " + S.POSTINGS + rf""",
     n AS (SELECT doc_id, count(*) AS doc_len FROM tok GROUP BY doc_id),
     df AS (SELECT (SELECT count(*) FROM post WHERE term = 'the')::DOUBLE AS d1, (SELECT count(*) FROM post WHERE term = 'of')::DOUBLE AS d2),
     w AS (SELECT d1, d2, 1 / (1 + ln(1 + d1)) AS r1, 1 / (1 + ln(1 + d2)) AS r2, -ln(1 + d1) AS x1, -ln(1 + d2) AS x2 FROM df),
-    cand AS (SELECT p.page_id, p.url, {S.TITLE} AS title, doc_len::DOUBLE AS doc_len, (count(*) OVER (PARTITION BY regexp_extract(p.url, '^(?:https?://)?(?:www\.)?([^/]*)', 1)))::DOUBLE AS n_seen,
+    seen AS (SELECT page_id, (count(*) OVER (PARTITION BY {S.DOMAIN}))::DOUBLE AS n_seen FROM pages),
+    cand AS (SELECT p.page_id, p.url, {S.TITLE} AS title, doc_len::DOUBLE AS doc_len, seen.n_seen,
         (length(p.url) - length(replace(p.url, '/', '')) - 2) AS seed_distance, (CASE WHEN starts_with(p.url, 'https') THEN 0 ELSE 1 END) AS domain_dist,
         coalesce(total, 0) AS total, coalesce(kinds, 0) AS kinds, p1.pos AS A, p2.pos AS B, w.*,
         lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*(.*)$', 1)) AS tail,
         lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]*)', 1)) AS slug
-        FROM pages p JOIN n ON n.doc_id = p.page_id JOIN post p1 ON p1.doc_id = p.page_id AND p1.term = 'the' JOIN post p2 ON p2.doc_id = p.page_id AND p2.term = 'of' LEFT JOIN a3 ON a3.page_id = p.page_id CROSS JOIN w)"""
+        FROM pages p JOIN seen ON seen.page_id = p.page_id JOIN n ON n.doc_id = p.page_id JOIN post p1 ON p1.doc_id = p.page_id AND p1.term = 'the' JOIN post p2 ON p2.doc_id = p.page_id AND p2.term = 'of' LEFT JOIN a3 ON a3.page_id = p.page_id CROSS JOIN w)"""
 
 
 def _hit(x: str, y: str) -> str:
