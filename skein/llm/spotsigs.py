@@ -177,11 +177,16 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, off = signatures(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off).astype(np.int32)), _binary(h, off)], ["doc_id", "n", "sigs"])
+                with np.errstate(over="ignore"):
+                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))]) for salt in (1, 2)]
+                    digest = [pa.array((x[off[1:]] - x[off[:-1]]).view(np.int64)) for x in sums]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off).astype(np.int32)), *digest, _binary(h, off)], ["doc_id", "n", "d1", "d2", "sigs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    spots = stored(rows.mapInArrow(spot, "doc_id long, n int, sigs binary"), "spots")
-    nodes = stored(spots.where(F.col("n") >= LEAST_SIGNATURES).groupBy("sigs").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "sets")
+    spots = stored(rows.mapInArrow(spot, "doc_id long, n int, d1 long, d2 long, sigs binary"), "spots")
+    # equal sets have equal 128-bit digests: one of them stands for all
+    told = spots.where(F.col("n") >= LEAST_SIGNATURES)
+    nodes = stored(told.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sigs").alias("sigs")), "sets")
 
     def heavy_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [_unpack(batch.column("sigs"), np.uint64)[0] for batch in batches]
@@ -210,8 +215,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node").take(of), pa.array((size[row] - nth - 1)[on].astype(np.int32))], ["key", "node", "rest"])
 
     shared = nodes.select("node", "sigs").mapInArrow(prefixes, "key long, node long, rest int")
-    often = shared.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    listed = often.groupBy("node").agg(F.collect_list(F.struct("key", "rest")).alias("keys"))
+    # Near copies share many signatures, whose buckets hold the same texts: one of such buckets is enough. The
+    # bound on what lies behind the first shared signature is the largest of theirs.
+    at = Window.partitionBy("key")
+    often = shared.withColumns({"m": F.count("*").over(at), "b1": F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(at), "b2": F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(20,0)")).over(at)}).where("m > 1")
+    buckets = often.groupBy("m", "b1", "b2", "node").agg(F.max("rest").alias("rest")).withColumn("key", F.xxhash64("m", "b1", "b2"))
+    listed = buckets.groupBy("node").agg(F.collect_list(F.struct("key", "rest")).alias("keys"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +242,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     sent = nodes.join(listed.hint("shuffle_hash"), "node").select("node", "sigs", "keys").mapInArrow(send, "key long, node long, rest int, n int, sigs binary")
     near = _edges(sent, threshold)
-    same = spots.join(nodes.select("sigs", "node"), "sigs").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same = told.select("doc_id", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     root = components(near.unionByName(same)).withColumnRenamed("node", "doc_id")
     ids = spots.groupBy("doc_id").agg(F.max("n").alias("n_signatures"))
     group = F.coalesce("root", "doc_id")
