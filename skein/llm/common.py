@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once inside a task; bounds the memory of the numpy temporaries.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
