@@ -2,11 +2,12 @@
 
 Documents of a shard (a range of doc_id) follow each other as sentences with known token
 counts. Window cuts lie at sentence or document boundaries. A window of n tokens costs its
-padding (capacity - n) or, beyond the capacity, TRUNCATION for each token lost; a cut inside
-a document costs SPLIT. With S the running token count and f the least cost up to a boundary,
-both forms of a window's cost split into a part of its begin and a part of its end, so the
-best begin is the head of a monotone queue over S[j] - S[i] <= capacity, or a running least
-over the begins before that: every boundary enters and leaves the queue once.
+padding (capacity - n) or, beyond the capacity, TRUNCATION for each token lost; only its last
+sentence may be truncated, so no window swallows sentences whole. A cut inside a document costs
+SPLIT. With S the running token count and f the least cost up to a boundary, both forms of a
+window's cost split into a part of its begin and a part of its end, and the begins that each
+form allows are a range that only moves on: the best ones are the heads of two monotone
+queues, which every boundary enters and leaves once.
 """
 
 from __future__ import annotations
@@ -36,35 +37,36 @@ def cuts(tokens: list[int], boundary: list[bool], capacity: int, truncation: int
     wins, then the longer one.
     """
     total, best, begin = [0], [0], [0]
-    queue: deque[int] = deque([0])
-    low, low_at, behind = None, 0, 0
-    n = len(tokens)
+    whole: deque[int] = deque([0])  # begins of windows that hold all up to j
+    over: deque[int] = deque()  # begins whose window ends inside the sentence before j
+    n, enter = len(tokens), 0
     for j in range(1, n + 1):
-        s = total[-1] + tokens[j - 1]
+        s, before = total[-1] + tokens[j - 1], total[-1]
         total.append(s)
-        while queue and s - total[queue[0]] > capacity:
-            queue.popleft()
-        # begins too far back for a whole window
-        while behind < j and s - total[behind] > capacity:
-            v = best[behind] - truncation * total[behind]
-            if low is None or v < low:
-                low, low_at = v, behind
-            behind += 1
+        while enter < j and s - total[enter] > capacity:
+            if whole and whole[0] == enter:
+                whole.popleft()
+            v = best[enter] - truncation * total[enter]
+            while over and best[over[-1]] - truncation * total[over[-1]] > v:
+                over.pop()
+            over.append(enter)
+            enter += 1
+        while over and before - total[over[0]] >= capacity:
+            over.popleft()
         cost, at = None, 0
-        if queue:
-            at = queue[0]
+        if whole:
+            at = whole[0]
             cost = best[at] + total[at] + capacity - s
-        if low is not None:
-            c = low + truncation * (s - capacity)
+        if over:
+            c = best[over[0]] + truncation * (s - total[over[0]] - capacity)
             if cost is None or c < cost:
-                cost, at = c, low_at
+                cost, at = c, over[0]
         cost += 0 if boundary[j - 1] or j == n else split
         best.append(cost)
         begin.append(at)
-        v = cost + s
-        while queue and best[queue[-1]] + total[queue[-1]] > v:
-            queue.pop()
-        queue.append(j)
+        while whole and best[whole[-1]] + total[whole[-1]] > cost + s:
+            whole.pop()
+        whole.append(j)
     ends = []
     j = n
     while j:
@@ -114,15 +116,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, truncation: int = TRUNCATION
     Tokens are those of pieces.encode. Only token counts are shuffled, never text. Documents without
     an id have no place in the order and are left out; null and empty texts have no tokens and are in
     no window. Rows that share an id follow each other, shorter first; equal rows are packed each.
-    Other columns are ignored. A sentence longer than the capacity is truncated if that is cheapest;
-    its shard's other windows aren't touched. An empty table gives no windows.
+    Other columns are ignored. A sentence of more tokens than the capacity is cut at words into
+    sentences that fit (one of a single word can't be, and is truncated). An empty table gives no windows.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
         for batch in batches:
             for part in slices(batch):
-                tokens, per = pieces.sentences(part.column("text"))
+                tokens, per = pieces.sentences(part.column("text"), capacity)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
                 counts = pa.ListArray.from_arrays(offsets, pa.array(tokens.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts], ["doc_id", "counts"]).filter(pa.array(per > 0))

@@ -267,9 +267,10 @@ class Pieces:
         total = np.concatenate([[0], np.cumsum(every)])
         return self.kept_ids[ragged(first, every)], np.concatenate([[0], total[np.searchsorted(begin, ends)]])
 
-    def sentences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def sentences(self, col: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of each sentence, number of sentences of each text). A sentence begins at a text's first
-        word and at every word behind one that ends in . ! ? or a line break."""
+        word and at every word behind one that ends in . ! ? or a line break; one of more than longest
+        tokens is cut before the word that goes beyond."""
         full, begin, length, key, ends = self._words(col)
         if not len(begin):
             return np.zeros(0, np.int64), np.zeros(len(col), np.int64)
@@ -278,7 +279,22 @@ class Pieces:
         head = np.ones(len(begin), bool)
         head[1:] = (row[1:] != row[:-1]) | np.isin(full[begin[1:] - 1], _STOPS)
         at = np.flatnonzero(head)
-        return np.add.reduceat(every, at), np.bincount(row[at], minlength=len(col))
+        tokens = np.add.reduceat(every, at)
+        long = np.flatnonzero(tokens > longest)
+        if len(long):
+            reach = np.append(at, len(begin))
+            upto = np.cumsum(every)
+            for k in long:
+                word = int(at[k])
+                while True:
+                    # the first word with which more than longest tokens would stand since word
+                    word = max(word + 1, int(np.searchsorted(upto, (upto[word - 1] if word else 0) + longest, side="right")))
+                    if word >= reach[k + 1]:
+                        break
+                    head[word] = True
+            at = np.flatnonzero(head)
+            tokens = np.add.reduceat(every, at)
+        return tokens, np.bincount(row[at], minlength=len(col))
 
     def _solved(self, full: np.ndarray, key: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, count) of each word's ids in kept_ids. Words solved before are looked up by their hashes."""
