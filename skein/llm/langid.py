@@ -107,7 +107,7 @@ def tables(model: PpmModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = states[kids] & 255
         before = np.searchsorted(states, states[kids] >> 8)
         step[before, cls[last]] = kids
-    out = (cls, step.reshape(-1), cost.reshape(-1, nl).astype(np.float32), width)
+    out = (cls, step.reshape(-1), cost.reshape(len(states) * width, nl).astype(np.float32), width)
     _tables.clear()
     _tables[model.key] = out
     return out

@@ -70,8 +70,8 @@ def previous_factors(word: np.ndarray, left: np.ndarray, bucket: np.ndarray, lea
     """Longest previous factor of each position, 0 where below least.
 
     word: symbols of all texts side by side; left: words from a position to the end of its text;
-    bucket: texts of different buckets never match. Lengths are exact up to twice the power of two
-    at or above least, and at least that beyond.
+    bucket: texts of different buckets never match. Suffixes are sorted by their first words up to the
+    power of two at or above least: lengths are exact up to that, and longer ones at least that.
     """
     n = len(word)
     out = np.zeros(n, np.int64)
