@@ -68,7 +68,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
+def _in(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in sorted(set(names)))
+
+
 ORACLE: dict[str, str] = {
+    "op1_spotsigs": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS loc FROM (SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents)),
+        m AS (SELECT *, word IN ({_in(spotsigs.ANCHORS)}) AS spot, word NOT IN ({_in(spotsigs.COMMON)}) AS plain FROM w),
+        n AS (SELECT *, sum(plain::INT) OVER (PARTITION BY doc_id ORDER BY loc) AS upto FROM m),
+        content AS (SELECT doc_id, list(word ORDER BY loc) AS ws FROM n WHERE plain GROUP BY doc_id),
+        sig AS (SELECT DISTINCT doc_id, word || ' ' || array_to_string(ws[upto + 1 : upto + 3], ' ') AS s FROM n JOIN content USING (doc_id) WHERE spot AND upto + 3 <= len(ws)),
+        size AS (SELECT doc_id, count(*) AS n FROM sig GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sig a JOIN sig b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        edge AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE p.n >= 3 AND q.n >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.5),
+        reach(a, b) AS (SELECT x, x FROM edge UNION SELECT reach.a, edge.y FROM reach JOIN edge ON edge.x = reach.b),
+        root AS (SELECT a AS doc_id, min(b) AS r FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(size.n, 0)::INT AS n_signatures, coalesce(r, d.doc_id) AS group_id, coalesce(r, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN root USING (doc_id)""",
     "op10_embedding_near_dedup": """
         WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
         p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
