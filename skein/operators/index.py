@@ -27,16 +27,21 @@ def first_letters(words: DataFrame) -> DataFrame:
     return words.groupBy(F.substring("term", 1, 1).alias("slot")).agg(F.min("term").alias("first_term"), F.count("*").alias("n_terms"))
 
 
+#: Ids in a block of chunked(): ranks are counted inside blocks and offset by the blocks before.
+ID_BLOCK = 1 << 16
+
+
 def chunked(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
     """docs with chunk: ids in order, size to a chunk.
 
-    Ranks are counted per range partition and offset by the ranges before: no single-partition window.
+    Only the table of blocks, one row for ID_BLOCK ids, passes through a single partition.
     """
-    ranged = docs.repartitionByRange(F.col(id_col)).withColumn("__p", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(id_col))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return ranged.withColumn("__r", within).join(F.broadcast(before), "__p").withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size).cast("int")).drop("__p", "__r", "__before")
+    blocks = docs.withColumn("__b", F.floor(F.col(id_col) / ID_BLOCK))
+    sizes = blocks.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__b").orderBy(id_col))
+    ranked = blocks.withColumn("__r", nth).join(before, "__b")
+    return ranked.withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size).cast("int")).drop("__b", "__r", "__before")
 
 
 def rebuild(postings: DataFrame) -> DataFrame:
@@ -53,8 +58,9 @@ def length_histogram(words: DataFrame) -> DataFrame:
 
 
 def write(postings: DataFrame, path: str) -> None:
-    """Postings in term order inside files, so that a term lookup skips row groups; never over an existing index."""
-    postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("errorifexists").parquet(path)
+    """Postings in term order over and inside files, so that a term lookup skips files and row groups; never over
+    an existing index. Ranges of (term, doc_id) split a frequent term's list over several files."""
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("errorifexists").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
