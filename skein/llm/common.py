@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a temporary one, in one local process only."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")

@@ -38,6 +38,7 @@ COMMON = ANCHORS + (
     "los las del y por con su para como lo al más o pero no"
 ).split()
 _PAIRS = 1 << 17
+_SENT = 1 << 20
 
 
 def _known(names: list[str]) -> np.ndarray:
@@ -230,8 +231,11 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             flat, off = _unpack(batch.column("sigs"), np.uint64)
             size = np.diff(off)
             of = np.repeat(np.arange(len(size)), per)
-            for a in range(0, len(of), 50_000):
-                o = of[a : a + 50_000]
+            upto, a = np.cumsum(size[of]), 0
+            while a < len(of):
+                # rows of at most _SENT signatures together, one row at least
+                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _SENT, side="right")))
+                o = of[a:z]
                 data = (flat[ragged(off[o], size[o])] >> np.uint64(32)).astype(np.uint32)
                 # two signatures of a set that share their upper half would count twice: they are too rare to matter for a threshold
                 k = flat_keys.slice(a, len(o))
@@ -239,6 +243,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     [k.field("key"), batch.column("node").take(pa.array(o)), k.field("rest"), pa.array(size[o].astype(np.int32)), _binary(data, np.concatenate([[0], np.cumsum(size[o])]))],
                     ["key", "node", "rest", "n", "sigs"],
                 )
+                a = z
 
     sent = nodes.join(listed.hint("shuffle_hash"), "node").select("node", "sigs", "keys").mapInArrow(send, "key long, node long, rest int, n int, sigs binary")
     near = _edges(sent, threshold)
