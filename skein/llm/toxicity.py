@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import slices, words
 
 #: Words in a window.
@@ -105,6 +106,14 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(every), np.concatenate(once)
 
 
+def _apart_from_copies(texts: list[str]) -> list[str]:
+    prints = np.concatenate([np.zeros((0, simhash.BITS // 64), np.uint64), *(simhash.fingerprints(col)[0] for col in _sliced(texts))])
+    if not len(prints):
+        return []
+    first = simhash.near_in_buckets(prints, np.array([0])) == np.arange(len(prints))
+    return [t for t, on in zip(texts, first) if on]
+
+
 def _rates(model: ToxicModel, texts: list[str]) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(scores(model, col)[0] for col in _sliced(texts))])
 
@@ -119,8 +128,9 @@ def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
-    """Dictionaries from every other text, the threshold from the others. Repeated texts count once."""
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    """Dictionaries from every other text, the threshold from the others. Copies and near copies count once:
+    else the rare words of a toxic text that was copied would look like what sets toxic texts apart."""
+    toxic, ordinary = _apart_from_copies(toxic), _apart_from_copies(ordinary)
     kinds, n = np.unique(_word_hashes(toxic[::2])[1], return_counts=True)
     plain, once = _word_hashes(ordinary[::2])
     known, m = np.unique(once, return_counts=True)
