@@ -49,3 +49,19 @@ def test_upsert_stream(spark, tmp_path):
     q.awaitTermination(120)
     row = spark.read.parquet(str(tmp_path / "store" / "v1")).first()
     assert (row.num_encountered, row.seed_distance, row.anchor_freqs) == (2, 0, {"w": 2})
+
+
+def test_politeness_stream(spark, tmp_path):
+    import datetime as dt
+
+    from skein.streaming import politeness
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [("a", f"u{i}", base + dt.timedelta(seconds=s)) for i, s in enumerate([0, 0, 1, 10])] + [("b", "v", base)]
+    spark.createDataFrame(rows, "domain string, url string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("domain string, url string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = politeness.schedule(stream).writeStream.format("memory").queryName("polite").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.url: (r.start - base).total_seconds() for r in spark.table("polite").collect()}
+    assert got == {"u0": 0, "u1": 2, "u2": 4, "u3": 10, "v": 0}
