@@ -72,7 +72,20 @@ def _in(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in sorted(set(names)))
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LETTER = r"A-Za-z0-9\x{80}-\x{10FFFF}"
+
 ORACLE: dict[str, str] = {
+    "op2_suffix_array_dedup": f"""
+        WITH p AS (SELECT doc_id, text, regexp_extract(text, '^[^{_LETTER}]*', 0) AS lead_in, regexp_extract_all(text, '[{_LETTER}]+[^{_LETTER}]*') AS ps FROM documents),
+        w AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS loc FROM p),
+        x AS (SELECT *, translate(regexp_extract(piece, '^[{_LETTER}]+', 0), {_LOWER}) AS word FROM w),
+        g AS (SELECT doc_id, loc, piece, CASE WHEN count(*) OVER run = 50 THEN md5(string_agg(word, ' ') OVER run) END AS gram FROM x
+            WINDOW run AS (PARTITION BY doc_id ORDER BY loc ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        r AS (SELECT doc_id, loc, piece, gram IS NOT NULL AND row_number() OVER (PARTITION BY gram ORDER BY doc_id, loc) > 1 AS again FROM g),
+        k AS (SELECT doc_id, loc, piece, max(again::INT) OVER (PARTITION BY doc_id ORDER BY loc ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
+        t AS (SELECT doc_id, string_agg(piece, '' ORDER BY loc) FILTER (NOT gone) AS kept, count(*) AS n, count(*) FILTER (gone) AS c FROM k GROUP BY doc_id)
+        SELECT doc_id, lead_in || coalesce(kept, '') AS text, coalesce(n, 0)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS cut_words FROM p LEFT JOIN t USING (doc_id)""",
     "op1_spotsigs": f"""
         WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS loc FROM (SELECT doc_id, regexp_extract_all(
             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents)),
