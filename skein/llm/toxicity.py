@@ -7,7 +7,7 @@ per word exceed a threshold calibrated on labelled rows that neither dictionary
 
 Words enter the compressor as fixed 8-byte hashes. Plain text doesn't work here: a match
 costs zstandard about as many bits as the five to seven letters it replaces, so plain
-windows found only 5 to 20 in 100 toxic texts at 0.5 % false alarms; hashed words find 98.
+windows found at most 24 in 100 toxic texts at 0.5 % false alarms; hashed words find 98.
 """
 
 from __future__ import annotations
