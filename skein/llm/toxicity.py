@@ -3,7 +3,9 @@
 One dictionary is trained on ordinary text, one on the passages that set toxic text apart.
 Every text is cut into windows of WINDOW words; a window's score is how many bytes shorter
 it gets when the toxic dictionary's content is added. A text is toxic when the bytes saved
-per word exceed a threshold calibrated on labelled rows that neither dictionary saw.
+per word reach a threshold, or those saved in some run of SPAN windows reach another: the
+first finds short texts, the second toxic passages inside long clean ones. Both are
+calibrated on labelled rows that neither dictionary saw.
 
 Words enter the compressor as fixed 8-byte hashes. Plain text doesn't work here: a match
 costs zstandard about as many bits as the five to seven letters it replaces, so plain
@@ -27,6 +29,10 @@ from .common import slices, words
 
 #: Words in a window.
 WINDOW = 16
+#: Windows in a run that is judged by itself: 256 words.
+SPAN = 16
+#: Words of the clean texts that the threshold of runs is calibrated on, joined from shorter ones: the longer a text, the likelier chance hits in one of its runs.
+LONG = 10_000
 #: Labelled documents of each class that are sampled; half train, half calibrate.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 4000
 TOXIC_DICT, ORDINARY_DICT = 8192, 16384
@@ -42,6 +48,7 @@ class ToxicModel:
     toxic: bytes
     ordinary: bytes
     threshold: float
+    span_threshold: float = np.inf
 
     def compressors(self) -> tuple:
         key = hash((self.toxic, self.ordinary))
@@ -71,22 +78,35 @@ def _lengths(c: zstandard.ZstdCompressor, raw: bytes, begin: np.ndarray, size: n
     return np.fromiter((len(x) for x in c.multi_compress_to_buffer(zstandard.BufferWithSegments(raw, segments), threads=1)), np.int64, len(begin))
 
 
-def scores(model: ToxicModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: bytes saved per word in windows that count, such windows, windows, highest saving of one."""
+def _measured(model: ToxicModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """scores(), and per text the most bytes saved in a run of SPAN windows (in all, if it has fewer)."""
     w = words(col, normalised=True)
     count = np.diff(w.first)
     per = -(-count // WINDOW)
     doc = np.repeat(np.arange(len(count)), per)
-    begin = w.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
+    upto = np.cumsum(per)
+    begin = w.first[doc] + (np.arange(len(doc)) - np.repeat(upto - per, per)) * WINDOW
     size = np.minimum(begin + WINDOW, w.first[doc + 1]) - begin if len(doc) else begin
     raw = w.hash.tobytes()
     plain, toxic = model.compressors()
     saved = _lengths(plain, raw, begin * 8, size * 8) - _lengths(toxic, raw, begin * 8, size * 8)
     hit = saved >= LEAST_SAVED
-    total = np.bincount(doc, np.where(hit, saved, 0), minlength=len(count))
-    top = np.zeros(len(count), np.int64)
-    np.maximum.at(top, doc, np.where(hit, saved, 0))
-    return total / np.maximum(count, 1), np.bincount(doc, hit, minlength=len(count)).astype(np.int64), per, top
+    counted = np.where(hit, saved, 0)
+    total = np.bincount(doc, counted, minlength=len(count))
+    top, span = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    np.maximum.at(top, doc, counted)
+    sums = np.concatenate([[0], np.cumsum(counted)])
+    np.maximum.at(span, doc, sums[np.minimum(np.arange(len(doc)) + SPAN, upto[doc])] - sums[:-1])
+    return total / np.maximum(count, 1), np.bincount(doc, hit, minlength=len(count)).astype(np.int64), per, top, span
+
+
+def scores(model: ToxicModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: bytes saved per word in windows that count, such windows, windows, highest saving of one."""
+    return _measured(model, col)[:4]
+
+
+def _toxic(model: ToxicModel, rate: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (rate >= model.threshold) | (span >= model.span_threshold)
 
 
 def _sliced(texts: list[str]) -> Iterator[pa.Array]:
@@ -114,8 +134,21 @@ def _apart_from_copies(texts: list[str]) -> list[str]:
     return [t for t, on in zip(texts, first) if on]
 
 
-def _rates(model: ToxicModel, texts: list[str]) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *(scores(model, col)[0] for col in _sliced(texts))])
+def _rates(model: ToxicModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes saved per word, windows, most saved in a run of SPAN windows) of each text."""
+    parts = [_measured(model, col) for col in _sliced(texts)]
+    return tuple(np.concatenate([np.zeros(0), *(p[k] for p in parts)]) for k in (0, 2, 4))
+
+
+def _cut(bad: np.ndarray, good: np.ndarray) -> float:
+    """The threshold that errs least. A false alarm drops a clean text, and clean texts are many: their rate weighs three times."""
+    cuts = np.unique(np.concatenate([bad, good]))
+    cuts = cuts[cuts > 0]
+    if not len(bad) or not len(cuts):
+        return np.inf
+    missed = np.searchsorted(np.sort(bad), cuts) / len(bad)
+    alarms = 1 - np.searchsorted(np.sort(good), cuts) / max(len(good), 1)
+    return float(cuts[np.argmin(missed + 3 * alarms)])
 
 
 def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
@@ -127,6 +160,12 @@ def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
         return b"".join(cut)[-size:]
 
 
+def _joined(texts: list[str]) -> list[str]:
+    """The texts one after another, in texts of about LONG words."""
+    upto = np.cumsum([len(t.split()) for t in texts]) // LONG
+    return [" ".join(texts[a:b]) for a, b in zip(np.searchsorted(upto, np.unique(upto)), np.searchsorted(upto, np.unique(upto), side="right"))]
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     """Dictionaries from every other text, the threshold from the others. Copies and near copies count once:
     else the rare words of a toxic text that was copied would look like what sets toxic texts apart."""
@@ -144,15 +183,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     shuffled = np.random.default_rng(8)
     passages = np.concatenate([shuffled.permutation(apart) for _ in range(8)]) if len(apart) else apart
     model = ToxicModel(_dictionary(passages, 8, TOXIC_DICT), _dictionary(plain, 16, ORDINARY_DICT), np.inf)
-    bad, good = _rates(model, toxic[1::2]), _rates(model, ordinary[1::2])
-    if len(bad):
-        # a false alarm drops a clean text, and clean texts are many: their rate weighs three times
-        cuts = np.unique(np.concatenate([bad, good]))
-        cuts = cuts[cuts > 0]
-        if len(cuts):
-            missed = np.searchsorted(np.sort(bad), cuts) / len(bad)
-            alarms = 1 - np.searchsorted(np.sort(good), cuts) / max(len(good), 1)
-            model.threshold = float(cuts[np.argmin(missed + 3 * alarms)])
+    bad, windows, bad_span = _rates(model, toxic[1::2])
+    model.threshold = _cut(bad, _rates(model, ordinary[1::2])[0])
+    # short texts are what the first threshold is for: the second comes from passages of half a run at least, if there are some
+    long = windows >= SPAN // 2
+    model.span_threshold = _cut(bad_span[long] if long.any() else bad_span, _rates(model, _joined(ordinary[1::2]))[2])
     return model
 
 
@@ -183,25 +218,27 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.BooleanType()), T.StructField("saved_per_word", T.DoubleType()),
     T.StructField("toxic_windows", T.LongType()), T.StructField("windows", T.LongType()), T.StructField("most_saved", T.LongType()),
+    T.StructField("span_saved", T.LongType()),
 ])
 
 
 def classify(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """Per row of docs: doc_id, toxic, saved_per_word, toxic_windows, windows, most_saved.
+    """Per row of docs: doc_id, toxic, saved_per_word, toxic_windows, windows, most_saved, span_saved
+    (the most bytes saved in a run of SPAN windows).
 
     Nothing is shuffled. Null and empty texts have no windows and aren't toxic. Other columns
-    are ignored, repeated rows are judged alike, long texts are scored whole. A score equal to
-    the threshold is toxic.
+    are ignored, repeated rows are judged alike, long texts are scored whole and by every run of
+    SPAN windows. A score equal to its threshold is toxic.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rate, hits, n, top = scores(held.value, part.column("text"))
+                rate, hits, n, top, span = _measured(held.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(rate >= held.value.threshold), pa.array(np.round(rate, 6)), pa.array(hits), pa.array(n), pa.array(top)],
-                    ["doc_id", "toxic", "saved_per_word", "toxic_windows", "windows", "most_saved"],
+                    [part.column("doc_id"), pa.array(_toxic(held.value, rate, span)), pa.array(np.round(rate, 6)), pa.array(hits), pa.array(n), pa.array(top), pa.array(span)],
+                    ["doc_id", "toxic", "saved_per_word", "toxic_windows", "windows", "most_saved", "span_saved"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
@@ -214,6 +251,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array(scores(held.value, part.column("text"))[0] < held.value.threshold))
+                rate, _, _, _, span = _measured(held.value, part.column("text"))
+                yield part.filter(pa.array(~_toxic(held.value, rate, span)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -400,6 +400,16 @@ def test_toxicity_scores_are_compressed_lengths():
     assert rate[0] == pytest.approx(sum(s for s in saved if s >= 3) / 60) and rate[1] == rate[2] == 0
 
 
+def test_toxic_passage_in_a_long_clean_text(spark):
+    bad, good = toxic_world(7)
+    model = toxicity.fit(bad[:200], good[:600])
+    clean = [" ".join(good[600 + 20 * k : 620 + 20 * k]) for k in range(15)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([f"{c[: len(c) // 2]} {p} {c[len(c) // 2 :]}" for c, p in zip(clean, [t for t in bad[200:] if len(t.split()) >= 128])] + clean)], "doc_id long, text string")
+    found = {x.doc_id for x in toxicity.classify(docs, model).collect() if x.toxic}
+    assert len(found & set(range(15))) >= 13 and len(found - set(range(15))) <= 1
+    assert {x.doc_id for x in toxicity.drop_toxic(docs, model).collect()} == set(range(30)) - found
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, 0), (99, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
