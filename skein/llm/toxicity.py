@@ -1,6 +1,8 @@
 """Toxicity by compression distance with two trained zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on the passages that set toxic text apart.
+One dictionary is trained on ordinary text. The toxic one is a keyword list: the words that
+set toxic texts apart, in shuffled order, not passages of toxic text. Word forms that aren't
+in the list save nothing, and hashes hide shared stems.
 Every text is cut into windows of WINDOW words; a window's score is how many bytes shorter
 it gets when the toxic dictionary's content is added. A text is toxic when the bytes saved
 per word reach a threshold, or those saved in some run of SPAN windows reach another: the
@@ -179,7 +181,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
         there = np.where(known[i] == kinds, m[i], 0)
     rate, other = n / max(len(toxic[::2]), 1), (there + 0.5) / max(len(ordinary[::2]), 1)
     apart = kinds[(n >= LEAST_TEXTS) & (rate >= LEAST_RATIO * other)]
-    # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too
+    # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too.
+    # Windows of toxic text around those words did worse: their ordinary words save bytes in clean texts as well
     shuffled = np.random.default_rng(8)
     passages = np.concatenate([shuffled.permutation(apart) for _ in range(8)]) if len(apart) else apart
     model = ToxicModel(_dictionary(passages, 8, TOXIC_DICT), _dictionary(plain, 16, ORDINARY_DICT), np.inf)
