@@ -36,8 +36,10 @@ SPAN = 16
 #: Words of the clean texts that the threshold of runs is calibrated on, joined from shorter ones: the longer a text, the likelier chance hits in one of its runs.
 LONG = 10_000
 #: Labelled documents of each class that are sampled; half train, half calibrate.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 4000
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 6000
 TOXIC_DICT, ORDINARY_DICT = 8192, 16384
+#: Runs of words that a dictionary is trained on at most, spread evenly over the sample; bounds the trainer's memory.
+DICTIONARY_RUNS = 40_000
 #: A window counts from this many bytes saved.
 LEAST_SAVED = 3
 #: A word sets toxic texts apart if it is in at least so many of them, and in so many times the share of ordinary ones.
@@ -155,7 +157,8 @@ def _cut(bad: np.ndarray, good: np.ndarray) -> float:
 
 def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
     """Content of a trained dictionary (its entropy tables hold for plain literals, not for hashes, and are left out)."""
-    cut = [tokens[i : i + per].tobytes() for i in range(0, max(min(len(tokens), 40_000 * per) - per + 1, 0), per)]
+    n = len(tokens) // per
+    cut = [tokens[i * per : i * per + per].tobytes() for i in (range(n) if n <= DICTIONARY_RUNS else np.linspace(0, n - 1, DICTIONARY_RUNS).astype(np.int64))]
     try:
         return zstandard.train_dictionary(size, cut).as_bytes()[256:]
     except zstandard.ZstdError:  # too little text to train on: all of it, newest last

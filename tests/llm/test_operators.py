@@ -410,6 +410,14 @@ def test_toxic_passage_in_a_long_clean_text(spark):
     assert {x.doc_id for x in toxicity.drop_toxic(docs, model).collect()} == set(range(30)) - found
 
 
+def test_toxicity_dictionary_sees_the_whole_sample():
+    r = np.random.default_rng(8)
+    n, v = 650_000, simhash.mix(np.arange(100, dtype=np.uint64))
+    held = toxicity._dictionary(np.concatenate([v[r.integers(0, 50, n)], v[r.integers(50, 100, n)]]), 16, toxicity.ORDINARY_DICT)
+    assert all(sum(x.tobytes() in held for x in half) >= 40 for half in (v[:50], v[50:]))
+    assert toxicity.SAMPLE_ORDINARY >= 6000
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, 0), (99, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
