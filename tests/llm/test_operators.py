@@ -460,6 +460,15 @@ def test_bit_sliced_distances(radius):
     assert simhash.near_in_buckets(near, np.array([0]), radius).tolist() == components_of(300, whole)
 
 
+def test_simhash_bands_reach_the_radius():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2, (2000, simhash.BITS))
+    b = a.copy()
+    for row in b:
+        row[r.permutation(simhash.BITS)[: simhash.RADIUS]] ^= 1
+    assert np.mean([(a[:, p] == b[:, p]).all(axis=1) for p in simhash.band_positions()], axis=0).astype(bool).mean() >= 0.88
+
+
 def test_simhash_recall(spark):
     docs = corpus(11, 300)
     p, _ = simhash.fingerprints(pa.array([t for _, t in docs]))
