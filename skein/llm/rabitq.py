@@ -13,6 +13,7 @@ every row is a query, and no bucket, candidate or partner count is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """(id_a, id_b, cosine) of pairs of rows, id_a < id_b, whose cosine is at least threshold; cosine has 6 decimals.
 
     Null ids, null vectors, vectors with null or non-finite entries, empty ones and zero ones have no
-    direction and no pairs; nor do vectors whose length isn't the commonest one. Equal vectors are pairs
+    direction and no pairs. Vectors are compared with those of their own length, one search a length. Equal vectors are pairs
     (always found: they share every band). Rows that share an id aren't pairs of each other; repeated
     rows count once. Other columns are ignored. An empty table gives no pairs.
     """
@@ -109,11 +110,17 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     empty = spark.createDataFrame([], "id_a long, id_b long, cosine double")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    # a vector alone with its length has no partner
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
     if not lengths:
         return empty
-    dim = lengths[0]["d"]
-    rows = stored(rows.where(F.size("v") == dim).distinct(), "vectors")
+    rows = stored(rows.where(F.size("v").isin(lengths)).distinct(), "vectors")
+    found = [_pairs_of(rows.where(F.size("v") == d), d, threshold) for d in lengths]
+    return reduce(DataFrame.unionByName, found).groupBy("id_a", "id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+
+
+def _pairs_of(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(id_a, id_b, cosine) of near pairs of rows (id, v), whose vectors all have length dim."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dim), 0
@@ -200,5 +207,4 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(dot)], ["id_a", "id_b", "cosine"])
 
     pairs = maybe.join(rows.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
-    found = pairs.select("id_a", "id_b", "va", "vb").mapInArrow(exact, "id_a long, id_b long, cosine double").where(F.col("cosine") >= threshold)
-    return found.groupBy("id_a", "id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+    return pairs.select("id_a", "id_b", "va", "vb").mapInArrow(exact, "id_a long, id_b long, cosine double").where(F.col("cosine") >= threshold)

@@ -529,6 +529,13 @@ def test_rabitq_awkward(spark):
     assert rabitq.near_pairs(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_rabitq_every_length(spark):
+    v = [0.1 * i for i in range(1, 9)]
+    rows = [(1, v), (2, v), (3, v), (4, v[:3]), (5, v[:3]), (6, v[:3] + v[:3]), (7, [-x for x in v[:3]])]
+    found = rabitq.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (4, 5, 1.0)]
+
+
 def test_fixed_randomness():
     assert zlib.crc32(simhash.band_positions().astype(np.int16).tobytes()) == zlib.crc32(simhash.band_positions().astype(np.int16).tobytes())
     q = rabitq.rotation(64)
