@@ -13,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds the memory of the numpy temporaries.
 SLICE_BYTES = 2 << 20
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 17
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
-_pow_cache: dict[int, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df, which nothing may read any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def string_parts(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +86,21 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         row = end
 
 
-def _powers(n: int) -> np.ndarray:
-    have = _pow_cache.get(0)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            filled = 1
-            while filled < size:
-                take = min(filled, size - filled)
-                have[filled : filled + take] = have[:take] * np.uint64(pow(_MULT, filled, 1 << 64))
-                filled += take
-        _pow_cache[0] = have
-    return have[:n]
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0] = 1
+    filled = 1
+    with np.errstate(over="ignore"):
+        while filled < n:
+            take = min(filled, n - filled)
+            out[filled : filled + take] = out[:take] * np.uint64(pow(base, filled, 1 << 64))
+            filled += take
+    return out
+
+
+#: Powers for one run of HASH_BYTES bytes; longer texts are hashed run by run, so these never grow.
+_POWERS = _power_table(_MULT, HASH_BYTES + 1)
+_INVERSES = _power_table(_INV, HASH_BYTES + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -122,60 +134,79 @@ class Words:
     __slots__ = ("hash", "start", "end", "doc", "first", "raw", "offsets")
 
 
+def _edges(raw: np.ndarray, inside_of: np.ndarray) -> np.ndarray:
+    """Positions where runs of bytes that inside_of marks begin and end, in turn."""
+    found, last = [], False
+    for a in range(0, len(raw), HASH_BYTES):
+        inside = inside_of[raw[a : a + HASH_BYTES]]
+        flips = np.empty(len(inside), bool)
+        flips[0] = inside[0] != last
+        np.not_equal(inside[1:], inside[:-1], out=flips[1:])
+        found.append(np.flatnonzero(flips) + a)
+        last = bool(inside[-1])
+    if last:
+        found.append(np.array([len(raw)]))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each span raw[start:end]; spans ascend and don't overlap. fold: byte that stands for each byte.
+
+    Equal spans have equal hashes wherever they stand. Runs of HASH_BYTES are summed at a time, and a longer span piece by piece.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            lo = int(start[i])
+            j = int(np.searchsorted(end, lo + HASH_BYTES, side="right"))
+            if j <= i:
+                total = 0
+                for a in range(lo, int(end[i]), HASH_BYTES):
+                    piece = raw[a : min(a + HASH_BYTES, int(end[i]))]
+                    piece = (piece if fold is None else fold[piece]).astype(np.uint64) + np.uint64(1)
+                    total += int((piece * _POWERS[: len(piece)]).sum()) * pow(_MULT, a - lo, 1 << 64)
+                out[i] = total & _MASK
+                i += 1
+                continue
+            piece = raw[lo : int(end[j - 1])]
+            piece = (piece if fold is None else fold[piece]).astype(np.uint64)
+            piece += np.uint64(1)
+            piece *= _POWERS[: len(piece)]
+            sums = np.empty(len(piece) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(piece, out=sums[1:])
+            # scaling to the same power makes equal spans equal wherever they stand
+            out[i:j] = (sums[end[i:j] - lo] - sums[start[i:j] - lo]) * _INVERSES[start[i:j] - lo]
+            i = j
+    return mix(out)
+
+
 def words(col: pa.Array, normalised: bool = False) -> Words:
     """White-space separated words of each text of a string column, hashed.
 
     normalised: words are runs of letters and digits, ASCII case ignored; punctuation separates.
-    Words never cross rows. Null and empty texts have none.
+    Words never cross rows. Null and empty texts have none. Beyond the text itself, memory is that
+    of the words found (about 40 bytes each).
     """
     raw, offsets = string_parts(col)
     out = Words()
     out.raw, out.offsets = raw, offsets
-    n = len(raw)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _WORDCHAR[raw] if normalised else ~_SPACE[raw]
-    flips = inside[1:] != inside[:-1]
+    table = _WORDCHAR if normalised else ~_SPACE
+    edges = _edges(raw, table)
     # a text that ends in a word and a next one that starts with a word
     cuts = offsets[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < n)])
-    joined = cuts[inside[cuts] & inside[cuts + 1]]
-    edges = np.flatnonzero(flips)
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(raw))])
+    joined = cuts[table[raw[cuts - 1]] & table[raw[cuts]]]
     if len(joined):
         edges = np.sort(np.concatenate([edges, joined, joined]), kind="stable")
     out.start, out.end = edges[0::2], edges[1::2]
-    out.doc = np.searchsorted(offsets, out.start, side="right") - 1
     out.first = np.searchsorted(out.start, offsets, side="left")
-    with np.errstate(over="ignore"):
-        src = (_LOWER[raw] if normalised else raw).astype(np.uint64) + np.uint64(1)
-        p = _powers(n + 1)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(src * p[:n], out=sums[1:])
-        # scaling to the same power makes equal words equal wherever they stand
-        diff = sums[out.end] - sums[out.start]
-        out.hash = mix(diff * p_inverse(out.start, n))
+    out.doc = np.repeat(np.arange(len(col)), np.diff(out.first))
+    out.hash = span_hashes(raw, out.start, out.end, _LOWER if normalised else None)
     return out
 
 
-_inv_cache: dict[int, np.ndarray] = {}
-
-
-def p_inverse(at: np.ndarray, n: int) -> np.ndarray:
-    have = _inv_cache.get(0)
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, 1 << 16)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            filled = 1
-            while filled < size:
-                take = min(filled, size - filled)
-                have[filled : filled + take] = have[:take] * np.uint64(pow(_INV, filled, 1 << 64))
-                filled += take
-        _inv_cache[0] = have
-    return have[at]
-
-
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes (n - k + 1 of them); rows are not looked at."""
     n = len(h) - k + 1
@@ -204,3 +235,18 @@ def hash_word(word: str) -> int:
     for i, b in enumerate(word.encode()):
         total = (total + (b + 1) * pow(_MULT, i, 1 << 64)) & _MASK
     return int(mix(np.array([total], np.uint64))[0])
+
+
+def in_blocks(rows: DataFrame, key: str, node: str, block: int, sizes: DataFrame) -> DataFrame:
+    """rows such that any two that share a key still do, in groups of about 2 * block rows at most.
+
+    sizes: (key, n) of the keys with more than block rows, stored, so that the planner knows its size and
+    broadcasts it only if it is small. The rows of such a key are spread over n / block blocks by their
+    node; every two blocks meet under a key of their own. Rows of other keys pass as they are.
+    """
+    count = F.ceil(F.col("__n") / block).cast("int")
+    own = F.pmod(F.xxhash64(node), count).cast("int")
+    others = F.when(F.col("__n").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), count - 1), lambda x: x != own))
+    sized = rows.join(sizes.select(F.col(key), F.col("n").alias("__n")), key, "left").withColumn("__own", own).withColumn("__other", F.explode(others))
+    met = F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other"))
+    return sized.withColumn(key, F.when(F.col("__other") < 0, F.col(key).cast("long")).otherwise(met)).select(rows.columns)

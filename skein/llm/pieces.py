@@ -15,6 +15,7 @@ library with the same file whose model type is set to unigram, not those of its
 from __future__ import annotations
 
 import struct
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, mix, p_inverse, ragged, slices, string_parts
+from .common import ragged, slices, span_hashes, string_parts
 
 #: Where the model lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose splits a worker keeps between batches before it starts anew.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
+#: Longer words are first cut where no piece can stand across; bytes solved in step at once; parts beyond that are solved one by one.
+LONG_WORD, SPLIT_BYTES, ALONE = 512, 1 << 20, 4096
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _MARK = "▁".encode()
 _SPACE = 0x20
@@ -67,6 +70,7 @@ class Pieces:
 
     def __init__(self, entries: list[tuple[str, float, int]], dummy_prefix: bool = True):
         self.dummy_prefix = dummy_prefix
+        self.lists: list[list] | None = None
         self._forget()
         self.kinds = np.array([k for *_, k in entries], np.int8)
         self.byte_id = np.zeros(256, np.int32)
@@ -154,7 +158,84 @@ class Pieces:
         return _loaded[path]
 
     def split_words(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word) of the words raw[begin : begin + size], best split each."""
+        """(ids, number of ids of each word) of the words raw[begin : begin + size], best split each.
+
+        A word without spaces can be a whole text. Long ones are cut where no piece stands across, which
+        leaves their best split the same, so that time follows the bytes and not the longest word.
+        """
+        word = np.arange(len(begin))
+        if (size > LONG_WORD).any():
+            cut = [self._safe_cuts(raw, int(b), int(b + k)) if k > LONG_WORD else np.zeros(0, np.int64) for b, k in zip(begin, size)]
+            many = np.array([len(c) + 1 for c in cut])
+            word = np.repeat(word, many)
+            begin, end = np.concatenate([np.concatenate([[b], c]) for b, c in zip(begin, cut)]), begin + size
+            size = np.where(np.concatenate([word[1:] != word[:-1], [True]]), end[word], np.append(begin[1:], 0)) - begin
+        ids, counts, upto, a = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.cumsum(size), 0
+        while a < len(begin):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SPLIT_BYTES, side="right")))
+            alone = np.flatnonzero(size[a:z] > ALONE)
+            if len(alone):  # a part without any place to cut: by itself, before or after the others
+                z = a + max(1, int(alone[0]))
+            found = self._split_one(raw[begin[a] : begin[a] + size[a]].tobytes()) if size[a] > ALONE else self._split(raw, begin[a:z], size[a:z])
+            ids.append(found[0])
+            counts.append(found[1])
+            a = z
+        return np.concatenate(ids), np.bincount(word, np.concatenate(counts), minlength=int(word[-1]) + 1 if len(word) else 0).astype(np.int64)
+
+    def _safe_cuts(self, raw: np.ndarray, lo: int, hi: int, segment: int = 1024) -> np.ndarray:
+        """Positions in (lo, hi) that no piece stands across, at most one in 64 bytes. The automaton reads all segments
+        in step: behind as many bytes as the longest piece has, its state doesn't depend on where it began."""
+        at = np.arange(lo, hi, segment)
+        state, longest = np.zeros(len(at), np.int64), np.zeros(hi - lo, np.int32)
+        for t in range(-int(self.depth.max()), segment):
+            on = slice(int(np.searchsorted(at, lo - t)), int(np.searchsorted(at, hi - t)))
+            pos = at[on] + t
+            state[on] = self.goto[state[on] * self.width + self.classes[raw[pos]]]
+            if t >= 0:
+                longest[pos - lo] = self.depth[self.first[state[on]]]
+        end = np.arange(lo + 1, hi + 1)
+        reach = np.minimum.accumulate((end - longest)[::-1])[::-1]
+        safe = np.flatnonzero((reach >= end - 1) & ((raw[lo:hi] & 0xC0) != 0x80)) + lo
+        safe = safe[safe > lo]
+        return safe[np.concatenate([[True], safe[1:] // 64 != safe[:-1] // 64])] if len(safe) else safe
+
+    def _split_one(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """_split of one long word, a byte at a time."""
+        n, width, goto, classes = len(text), self.width, memoryview(self.goto), self.classes.tolist()
+        if self.lists is None:
+            self.lists = [x.tolist() for x in (self.first, self.link, self.depth, self.score, self.piece)]
+        first, link, depth, score, piece = self.lists
+        best, back, back_size = array("d", [0.0]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        state = char = 0
+        for t, c in enumerate(text):
+            char = char + 1 if c & 0xC0 == 0x80 else 1
+            state = goto[state * width + classes[c]]
+            node, top, who, how, single = first[state], -np.inf, 0, 0, False
+            while node > 0:
+                length = depth[node]
+                s = best[t + 1 - length] + score[node]
+                single = single or length == char
+                if s > top:
+                    top, who, how = s, piece[node], length
+                node = link[node]
+            if not single and (t + 1 == n or text[t + 1] & 0xC0 != 0x80):
+                s = best[t + 1 - char] + self.unknown_score
+                if s > top:
+                    top, who, how = s, -1, char
+            best[t + 1], back[t + 1], back_size[t + 1] = top, who, how
+        out, at = [], n
+        while at:
+            at -= back_size[at]
+            out.append(at)
+        start = np.array(out[::-1])
+        length = np.diff(np.append(start, n))
+        kind = np.frombuffer(back, np.int32)[start + length]
+        ids = np.repeat(kind, np.where(kind < 0, length, 1))
+        lost = kind < 0
+        ids[ids < 0] = self.byte_id[np.frombuffer(text, np.uint8)[ragged(start[lost], length[lost])]]
+        return ids, np.array([len(ids)])
+
+    def _split(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(begin)
         by = np.argsort(-size, kind="stable")
         begin, size = begin[by], size[by]
@@ -250,13 +331,7 @@ class Pieces:
         head[start[size > 0]] = True
         begin = np.flatnonzero(head)
         length = np.diff(np.concatenate([begin, [len(full)]]))
-        p = _powers(len(full) + 1)
-        sums = np.empty(len(full) + 1, np.uint64)
-        sums[0] = 0
-        with np.errstate(over="ignore"):
-            np.cumsum((full.astype(np.uint64) + np.uint64(1)) * p[: len(full)], out=sums[1:])
-            key = mix((sums[begin + length] - sums[begin]) * p_inverse(begin, len(full)))
-        return full, begin, length, key, ends
+        return full, begin, length, span_hashes(full, begin, begin + length), ends
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts side by side, offsets). Null and empty texts have none."""
@@ -299,7 +374,7 @@ class Pieces:
     def _solved(self, full: np.ndarray, key: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, count) of each word's ids in kept_ids. Words solved before are looked up by their hashes."""
         words, one, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.kept) > KEPT_WORDS:
+        if len(self.kept) > KEPT_WORDS or len(self.kept_ids) > 8 * KEPT_WORDS:
             self._forget()
         at = np.searchsorted(self.kept, words)
         new = np.ones(len(words), bool)

@@ -1,14 +1,19 @@
 """SimHash near-dedup with bit-sliced comparison.
 
 A text's fingerprint has 256 bits, from its set of words. Texts whose fingerprints agree
-on one of BANDS samples of BAND_BITS bits are compared: the fingerprints of a bucket lie
+on one of several samples of bits are compared: the fingerprints of a bucket lie
 as vertical bit planes, 64 to a machine word, and a query's distances to 64 of them at a
 time are counted by carry-save adders. Words in which every distance is above RADIUS are
 abandoned every PLANES_AT_ONCE planes. Texts within RADIUS are joined into groups.
+
+How many bits a sample has follows from the number of fingerprints, so that buckets keep
+their size; how many samples there are follows from the radius and the wanted recall. A
+bucket that is large all the same is split into blocks that meet in pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, ragged, slices, stored, words
+from .common import in_blocks, mix, ragged, slices, stored, words
 from .graph import components, join_labels
 
 BITS = 256
 #: Largest Hamming distance of near copies; 44 of 256 bits is a cosine of about 0.86 between word sets.
 RADIUS = 44
-#: Samples of fingerprint bits that make candidates. A pair that differs in a share p of its bits is found with
-#: probability 1 - (1 - (1 - p) ** BAND_BITS) ** BANDS: 1.00 at p = 0.1, 0.98 at 37 of 256 bits, 0.91 at RADIUS.
-BANDS, BAND_BITS = 48, 16
+#: Least share of the pairs at the radius itself that samples bring together; nearer pairs are found more surely.
+RECALL = 0.98
+#: Fingerprints that a bucket should hold if their bits were even, and the fewest bits of a sample.
+BUCKET, LEAST_BITS = 2048, 12
+#: Rows of a bucket that are solved together; larger buckets are split into blocks.
+BLOCK = 8192
 PLANES_AT_ONCE = 32
 #: Queries of each bucket in one round; groups found so far are left out of the next round's comparisons.
 ROUND = 64
@@ -44,26 +52,41 @@ def fingerprints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, BITS // 64), np.uint64)
     if not len(key):
         return out, count
-    # one byte lane per bit holds 255 words; blocks never cross texts
+    # one byte lane per bit holds 255 words; blocks never cross texts, and so many blocks are looked at together
     first = np.cumsum(count) - count
     blocks = -(-count // 255)
     of = np.repeat(np.arange(n), blocks)
     starts = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * 255
-    has = np.flatnonzero(count)
-    heads = (np.cumsum(blocks) - blocks)[has]
+    stops = np.append(starts[1:], len(key))
+    at_once = 1024
     with np.errstate(over="ignore"):
         for k in range(BITS // 64):
-            lanes = np.unpackbits(mix(word + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8)).view(np.uint64).reshape(-1, 8)
-            sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(len(starts), 64)
-            ones = np.add.reduceat(sums.astype(np.int32), heads, axis=0)
-            out[has, k] = np.packbits(ones * 2 > count[has][:, None], axis=1).view(np.uint64)[:, 0]
+            ones = np.zeros((n, 64), np.int64)
+            for a in range(0, len(starts), at_once):
+                part = starts[a : a + at_once]
+                mixed = mix(word[part[0] : stops[min(a + at_once, len(starts)) - 1]] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                lanes = np.unpackbits(mixed.view(np.uint8)).view(np.uint64).reshape(-1, 8)
+                sums = np.add.reduceat(lanes, part - part[0], axis=0).view(np.uint8).reshape(len(part), 64)
+                own = of[a : a + at_once]
+                heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                ones[own[heads]] += np.add.reduceat(sums.astype(np.int64), heads, axis=0)
+            has = np.flatnonzero(count)
+            out[has, k] = np.packbits(ones[has] * 2 > count[has][:, None], axis=1).view(np.uint64)[:, 0]
     return out, count
 
 
-def band_positions() -> np.ndarray:
+def plan_bands(rows: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a sample, number of samples). A pair that differs in a share p of its bits is found with probability
+    1 - (1 - (1 - p) ** bits) ** samples."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / BUCKET)))
+    same = (1 - radius / BITS) ** bits
+    return bits, 1 if same >= recall else math.ceil(math.log(1 - recall) / math.log1p(-same))
+
+
+def band_positions(bits: int = LEAST_BITS, bands: int = plan_bands(1)[1]) -> np.ndarray:
     """The sampled bits of every band; fixed, so that runs agree."""
     r = np.random.default_rng(9)
-    return np.stack([r.permutation(BITS)[:BAND_BITS] for _ in range(BANDS)])
+    return np.stack([r.permutation(BITS)[:bits] for _ in range(bands)])
 
 
 def within(planes: np.ndarray, valid: np.ndarray, radius: int, flips: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -183,24 +206,21 @@ def prints_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.mapInArrow(run, f"doc_id long, {_FP}")
 
 
-def _banded(nodes: DataFrame) -> DataFrame:
-    positions = band_positions()
+def _banded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
+    positions = band_positions(bits, bands)
+    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            f = np.stack([batch.column(c).to_numpy() for c in _COLS], 1)
-            bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1)
-            keys = [np.packbits(bits[:, p], axis=1, bitorder="little").astype(np.int64) for p in positions]
-            band = np.stack([b * 65536 + k[:, 0] + 256 * k[:, 1] for b, k in enumerate(keys)], 1).astype(np.int32)
-            node = batch.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band.reshape(-1)), pa.array(np.repeat(node, BANDS)), *(pa.array(np.repeat(f[:, k], BANDS)) for k in range(len(_COLS)))],
-                ["band", "node", *_COLS],
-            )
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                f = np.stack([part.column(c).to_numpy() for c in _COLS], 1)
+                every = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1)
+                band = np.stack([every[:, p] @ weights + (b << bits) for b, p in enumerate(positions)], 1)
+                take = np.repeat(np.arange(len(f)), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1)), part.column("node").take(pa.array(take)), *(pa.array(f[take, k]) for k in range(len(_COLS)))], ["band", "node", *_COLS])
 
-    return nodes.select("node", *_COLS).mapInArrow(run, f"band int, node long, {_FP}")
+    return nodes.select("node", *_COLS).mapInArrow(run, f"band long, node long, {_FP}")
 
 
 def _edges(banded: DataFrame, radius: int) -> DataFrame:
@@ -234,17 +254,25 @@ def _edges(banded: DataFrame, radius: int) -> DataFrame:
     return banded.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _near(nodes: DataFrame, radius: int, recall: float) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of nodes that are within radius."""
+    banded = _banded(nodes, *plan_bands(nodes.count(), radius, recall))
+    large = stored(banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
+    return _edges(in_blocks(banded, "band", "node", BLOCK, large), radius)
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """Near-copy groups: doc_id, group_id (least doc_id of the group), kept (doc_id = group_id).
 
     One row per distinct id of a text that has words; a text without partner is its own group.
     Null ids, null texts and texts without letters or digits have no fingerprint and no row.
-    Rows that share an id count as one document. Equal fingerprints always share a group,
-    whatever the bands say. Other columns of docs are ignored.
+    Ids are whole numbers (others make the cast fail). Rows that share an id count as one document.
+    Equal fingerprints always share a group, others within radius with at least the probability
+    recall for each pair. Other columns of docs are ignored.
     """
     prints = stored(prints_of(docs, id_col, text_col), "prints")
     same = stored(prints.groupBy(*_COLS).agg(F.min("doc_id").alias("node")), "nodes")
-    near = _edges(_banded(same), radius)
+    near = _near(same, radius, recall)
     exact = prints.join(same, _COLS).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     root = components(near.unionByName(exact))
     ids = prints.select("doc_id").distinct()
@@ -253,12 +281,18 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without the near copies of an earlier (lower doc_id) document; all columns.
+    """docs without the near copies of an earlier (lower doc_id) document; all columns, whatever their names.
 
-    Rows without a fingerprint (see groups) stay. Of rows that share an id, one stays: the one whose
-    text sorts first.
+    Rows without an id or a fingerprint (see groups) stay. Of rows that share an id, one stays: the one
+    whose text sorts first (a null text first of all), of equal texts any.
     """
-    gone = groups(docs, radius).where("not kept").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__nth", nth).where("doc_id is null or __nth = 1").drop("__nth")
+    gone = groups(docs, radius).where("not kept").select(F.col("doc_id").alias("gone"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"))
+    left = whole.where("id is not null").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("row.text"))
+    one = left.withColumn("nth", nth).where("nth = 1").select("row").unionByName(whole.where("id is null").select("row"))
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
