@@ -53,7 +53,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rabitq.near_pairs(table(spark, sf_dir, "embeddings"))
+    return rabitq.groups(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -101,7 +101,12 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(size.n, 0)::INT AS n_signatures, coalesce(r, d.doc_id) AS group_id, coalesce(r, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN root USING (doc_id)""",
     "op10_embedding_near_dedup": """
-        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-        p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
-        SELECT id_a, id_b, round(c, 6) AS cosine FROM p WHERE c >= 0.95""",
+        WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings),
+        r AS (SELECT class_id, v FROM e WHERE vec_id = class_id),
+        p AS (SELECT a.class_id AS x, b.class_id AS y FROM r a JOIN r b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        n AS (SELECT x, count(*) AS n FROM p GROUP BY x),
+        reach(a, b) AS (SELECT x, x FROM p UNION SELECT reach.a, p.y FROM reach JOIN p ON p.x = reach.b),
+        root AS (SELECT a AS class_id, min(b) AS r FROM reach GROUP BY a)
+        SELECT vec_id, class_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(r, class_id) AS group_id, vec_id = coalesce(r, class_id) AS kept
+        FROM e LEFT JOIN n ON n.x = class_id LEFT JOIN root USING (class_id)""",
 }

@@ -469,6 +469,35 @@ def test_simhash_bands_reach_the_radius():
     assert np.mean([(a[:, p] == b[:, p]).all(axis=1) for p in simhash.band_positions()], axis=0).astype(bool).mean() >= 0.88
 
 
+@pytest.mark.parametrize("rows", [1, 10**6, 10**9])
+@pytest.mark.parametrize("radius", [20, 44, 60])
+def test_simhash_bands_follow_rows_and_radius(rows, radius):
+    bits, bands = simhash.plan_bands(rows, radius)
+    assert bits >= simhash.LEAST_BITS and rows / 2**bits <= simhash.BUCKET
+    assert 1 - (1 - (1 - radius / simhash.BITS) ** bits) ** bands >= simhash.RECALL
+    if bands <= 200:
+        r = np.random.default_rng(3)
+        a = r.integers(0, 2, (1000, simhash.BITS))
+        b = a.copy()
+        for row in b:
+            row[r.permutation(simhash.BITS)[:radius]] ^= 1
+        assert np.mean([(a[:, p] == b[:, p]).all(axis=1) for p in simhash.band_positions(bits, bands)], axis=0).astype(bool).mean() >= 0.96
+
+
+def test_simhash_blocks_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(11, 200), "doc_id long, text string")
+    whole = sorted(map(tuple, simhash.groups(docs).collect()))
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    assert sorted(map(tuple, simhash.groups(docs).collect())) == whole
+
+
+def test_simhash_clashing_names(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, t, 1, 2, 3, 4, 5), (2, t, 1, 2, 3, 4, 5), (None, t, 1, 2, 3, 4, 5)], "doc_id long, text string, __gone int, __nth int, id int, `row` int, `a.b` int")
+    kept = simhash.keep_first(rows)
+    assert kept.columns == rows.columns and sorted(map(str, kept.collect())) == sorted(map(str, rows.where("doc_id is null or doc_id = 1").collect()))
+
+
 def test_simhash_recall(spark):
     docs = corpus(11, 300)
     p, _ = simhash.fingerprints(pa.array([t for _, t in docs]))
@@ -536,6 +565,59 @@ def test_rabitq_every_length(spark):
     assert sorted(tuple(r) for r in found) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (4, 5, 1.0)]
 
 
+def test_rabitq_groups_brute_force(spark):
+    x = vectors(4, 300, 64)
+    x[250:] = x[np.random.default_rng(5).integers(0, 20, 50)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    least = [int(np.flatnonzero((x == v).all(axis=1))[0]) for v in x]
+    reps = sorted(set(least))
+    links = {i: {j for j in reps if j != i and s[i, j] >= rabitq.THRESHOLD} for i in reps}
+    root = components_of(len(x), [(i, j) for i in reps for j in links[i]] + list(enumerate(least)))
+    rows = rabitq.groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    assert sum(map(len, links.values())) and {r.vec_id: (r.class_id, r.n_links, r.group_id, r.kept) for r in rows} == {i: (least[i], len(links[least[i]]), root[i], root[i] == i) for i in range(len(x))}
+
+
+def test_rabitq_groups_of_copies_and_odd_rows(spark):
+    v = [0.1 * i for i in range(1, 9)]
+    rows = [(i, v) for i in range(300)] + [(400, v[:3]), (401, v[:3]), (402, None), (403, []), (404, [0.0] * 8), (405, [float("nan")] * 8), (None, v), (406, v), (406, [-a for a in v]), (407, [-a for a in v])]
+    got = {r.vec_id: (r.class_id, r.n_links, r.group_id) for r in rabitq.groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == 308 and {got[i] for i in range(300)} == {(0, 0, 0)} and got[401] == (400, 0, 400)
+    assert all(got[i] == (i, 0, i) for i in (402, 403, 404, 405)) and got[407][2] == got[406][2] == 0
+    assert rabitq.groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rabitq_anisotropic_recall(spark):
+    x = vectors(6, 400, 64) + 1.5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= rabitq.THRESHOLD, 1)))}
+    rows = rabitq.near_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    got = {(r.id_a, r.id_b) for r in rows}
+    assert got <= want and len(got) >= 0.95 * len(want) > 0
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_large_buckets_in_blocks(spark, block, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.llm.common import in_blocks, stored
+
+    rows = spark.createDataFrame([(i % 2 if i < 120 else 5 + i, i) for i in range(150)], "key long, node long")
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "sizes")
+    met: dict[int, set[int]] = {}
+    for r in in_blocks(rows, "key", "node", block, sizes).collect():
+        met.setdefault(r.key, set()).add(r.node)
+    together = {(a, b) for s in met.values() for a in s for b in s}
+    assert together == {(a, b) for a in range(150) for b in range(150) if a == b or (a < 120 and b < 120 and a % 2 == b % 2)}
+    assert max(map(len, met.values())) <= 4 * block
+    x = vectors(3, 200, 64) * 0.05 + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, rabitq.near_pairs(df).collect()))
+    monkeypatch.setattr(rabitq, "BLOCK", block)
+    assert sorted(map(tuple, rabitq.near_pairs(df).collect())) == whole
+
+
 def test_fixed_randomness():
     assert zlib.crc32(simhash.band_positions().astype(np.int16).tobytes()) == zlib.crc32(simhash.band_positions().astype(np.int16).tobytes())
     q = rabitq.rotation(64)
