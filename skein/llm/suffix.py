@@ -12,6 +12,11 @@ so suffixes are bucketed first by an anchor that any two copies share:
 3. A bucket's texts, in document order, get a suffix array (prefix doubling) and LCPs; the
    nearest smaller positions before and after in suffix order give the longest previous
    factor of each position. Factors of MIN_WORDS or more are cut.
+4. An anchor seen more than HOT times, such as a line that millions of documents share, would
+   make a bucket that no task can hold. Its bucket is split until only equal runs are in one:
+   by the hashes of the runs of MIN_WORDS words that it marks. Of a run's copies all but the
+   first are cut, and the first is found by a minimum in two steps, over SALTS parts and then
+   over the parts' firsts, so nothing is gathered.
 
 The result is exact: a word is cut if and only if a run of MIN_WORDS words that covers it
 has an earlier equal one.
@@ -27,12 +32,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, ragged, slices, string_parts, words
+from .common import gram_hashes, mix, ragged, slices, stored, string_parts, words
 
 MIN_WORDS = 50
 GRAM = 12
 #: Words of buckets that one suffix array covers; larger buckets go on with what was new in them so far.
 BATCH_WORDS = 1 << 20
+#: Occurrences from which an anchor's bucket is split by runs, and the parts over which the copies of a run are spread.
+HOT, SALTS = 512, 64
 
 
 def anchors(w, min_words: int = MIN_WORDS, gram: int = GRAM) -> np.ndarray:
@@ -118,29 +125,60 @@ def previous_factors(word: np.ndarray, left: np.ndarray, bucket: np.ndarray, lea
     return out
 
 
-def _contexts(batch: pa.RecordBatch, min_words: int, gram: int) -> pa.RecordBatch:
-    """Rows (h, doc_id, tag, start, words) of the anchors listed in a batch (doc_id, tag, text, at)."""
+_SENT = ["h", "h2", "salt", "doc_id", "tag", "start", "words"]
+
+
+def _blobs(data: np.ndarray, size: np.ndarray, missing: bool = False) -> pa.Array:
+    if missing:
+        return pa.nulls(len(size), pa.binary())
+    offsets = np.concatenate([[0], np.cumsum(size * data.itemsize)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _shipped(batch: pa.RecordBatch, min_words: int, gram: int, at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """What goes to the buckets from a batch (doc_id, tag, text, at): of an anchor the words that its runs can reach,
+    of a hot one (h null) the two hashes of each run that it marks."""
     lists = batch.column("at")
     counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     row = np.repeat(np.arange(batch.num_rows), counts)
     pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+    hot = ~np.asarray(flat.field("h").is_valid())
     w = words(batch.column("text"), normalised=True)
+    total = np.diff(w.first)
+
+    def rows(h: pa.Array, h2: pa.Array, salt: np.ndarray, of: np.ndarray, start: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
+        take = pa.array(of)
+        return pa.RecordBatch.from_arrays([h, h2, pa.array(salt.astype(np.int32)), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(start.astype(np.int32)), blob], _SENT)
+
+    cold = np.flatnonzero(~hot)
     begin = np.maximum(pos - (min_words - gram), 0)
-    end = np.minimum(pos + min_words, np.diff(w.first)[row])
-    size = end - begin
-    data = (w.hash >> np.uint64(32)).astype(np.uint32)[ragged(w.first[row] + begin, size)]
-    offsets = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
-    binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    take = pa.array(row)
-    return pa.RecordBatch.from_arrays(
-        [flat.field("h"), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(begin.astype(np.int32)), binary],
-        ["h", "doc_id", "tag", "start", "words"],
-    )
+    size = np.minimum(pos + min_words, total[row]) - begin
+    upto, a = np.cumsum(size[cold]), 0
+    while a < len(cold):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + at_once, side="right")))
+        k = cold[a:z]
+        data = (w.hash[ragged(w.first[row[k]] + begin[k], size[k])] >> np.uint64(32)).astype(np.uint32)
+        yield rows(flat.field("h").take(pa.array(k)), pa.array(np.zeros(len(k), np.int64)), np.zeros(len(k)), row[k], begin[k], _blobs(data, size[k]))
+        a = z
+    if not hot.any():
+        return
+    # runs whose minimiser is a hot anchor: all runs that hold it, which covers those it marks
+    first = begin[hot]
+    last = np.minimum(pos[hot], total[row[hot]] - min_words)
+    starts = np.unique(ragged((w.first[row[hot]] + first)[last >= first], (last - first + 1)[last >= first]))
+    h = gram_hashes(w.hash, min_words)[starts]
+    with np.errstate(over="ignore"):
+        h2 = gram_hashes(mix(w.hash + np.uint64(0x5851F42D4C957F2D)), min_words)[starts]
+    doc = w.doc[starts]
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+    salt = 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+    yield rows(pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), salt, doc, starts - w.first[doc], _blobs(h, np.zeros(len(h), np.int64), missing=True))
 
 
 class _Solver:
-    """Repeats of the buckets of one sorted partition, in bounded memory."""
+    """Repeats of the buckets of one sorted partition. A bucket has at most HOT anchors, so memory is bounded by
+    batch_words and one bucket (anchors may still collide with others, whose words then differ)."""
 
     def __init__(self, least: int, batch_words: int = BATCH_WORDS):
         self.least, self.batch_words = least, batch_words
@@ -151,7 +189,9 @@ class _Solver:
         """Rows of one anchor and document that overlap, as one run."""
         h, doc, tag, start, length, flat, old = t
         same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])
-        reach = start + length
+        # how far the rows before reach: several may begin at a text's first word, in any order
+        group = np.cumsum(np.concatenate([[0], ~same])) << 40
+        reach = np.maximum.accumulate(group + start + length) - group
         overlap = np.concatenate([[False], same & (start[1:] <= reach[:-1])])
         skip = np.zeros(len(h), np.int64)
         skip[1:] = np.where(overlap[1:], np.minimum(reach[:-1] - start[1:], length[1:]), 0)
@@ -220,7 +260,7 @@ class _Solver:
             yield self.solve(self._joined(), False)[0]
 
 
-def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch_words: int = BATCH_WORDS) -> DataFrame:
+def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batch_words: int = BATCH_WORDS, hot: int = HOT) -> DataFrame:
     """(__id, __tag, cuts): the word spans of each document that repeat earlier text. keyed: __id, __tag, __row with text."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,24 +277,52 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batc
         for batch in batches:
             listed_rows = pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__tag"), batch.column("__row").field("text"), batch.column("at")], ["doc_id", "tag", "text", "at"])
             for part in slices(listed_rows.filter(batch.column("at").is_valid()), limit=1 << 20):
-                yield _contexts(part, min_words, gram)
+                yield from _shipped(part, min_words, gram)
+
+    kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("h", pa.int64()), ("h2", pa.int64())])
+
+    def found_rows(doc: pa.Array, tag: pa.Array, s: pa.Array, e: pa.Array, h: pa.Array | None = None, h2: pa.Array | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(s), pa.int64())
+        return pa.RecordBatch.from_arrays([doc, tag, s, e, none if h is None else h, none if h2 is None else h2], schema=kinds)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver = _Solver(min_words, batch_words)
+        last: tuple | None = None
         for batch in batches:
-            if batch.num_rows:
-                yield from solver.feed(batch)
-        yield from solver.finish()
+            runs = pa.compute.is_null(batch.column("words"))
+            some = batch.filter(pa.compute.invert(runs))
+            if some.num_rows:
+                for x in solver.feed(some):
+                    yield found_rows(*x.columns)
+            hot = batch.filter(runs)
+            if hot.num_rows:
+                # rows of a run side by side, in document order: all but the part's first are copies, the first may be
+                h, h2, salt = (hot.column(c).to_numpy() for c in ("h", "h2", "salt"))
+                again = np.concatenate([[last == (h[0], h2[0], salt[0])], (h[1:] == h[:-1]) & (h2[1:] == h2[:-1]) & (salt[1:] == salt[:-1])])
+                last = (h[-1], h2[-1], salt[-1])
+                start = hot.column("start")
+                end = pa.compute.add(start, pa.scalar(min_words, pa.int32()))
+                open_ = pa.array(~again)
+                keep = lambda c: pa.compute.if_else(open_, hot.column(c), pa.scalar(None, pa.int64()))
+                yield found_rows(hot.column("doc_id"), hot.column("tag"), start, end, keep("h"), keep("h2"))
+        for x in solver.finish():
+            yield found_rows(*x.columns)
 
     docs = keyed.select(F.col("__id").alias("doc_id"), F.col("__tag").alias("tag"), F.col("__row.text").alias("text")).where("doc_id is not null and text is not null")
-    seen = docs.mapInArrow(mark, "h long, doc_id long, tag long, pos int")
-    again = seen.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    seen = stored(docs.mapInArrow(mark, "h long, doc_id long, tag long, pos int"), "anchors")
+    # counts are combined before the shuffle and joined back: an anchor of a third of all rows isn't one task's
+    often = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    again = seen.join(often, "h").select("doc_id", "tag", "pos", F.when(F.col("n") <= hot, F.col("h")).alias("h"))
     listed = again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "pos")).alias("at")).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
     # the same join side as in _with_cuts, column for column and unfiltered, so that the texts are shuffled once for both
     reached = keyed.join(listed.hint("shuffle_hash"), ["__id", "__tag"], "left")
-    sent = reached.mapInArrow(ship, "h long, doc_id long, tag long, start int, words binary")
-    spans = sent.repartition("h").sortWithinPartitions("h", "doc_id", "tag", "start").mapInArrow(solve, "doc_id long, tag long, s int, e int")
-    return spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
+    sent = reached.mapInArrow(ship, "h long, h2 long, salt int, doc_id long, tag long, start int, words binary")
+    spans = sent.repartition("h", "salt").sortWithinPartitions("h", "h2", "salt", "doc_id", "tag", "start").mapInArrow(solve, "doc_id long, tag long, s int, e int, h long, h2 long")
+    # the firsts of a run's parts, at most SALTS: the first of them stays. Settled spans are spread by their document
+    of = [F.coalesce("h", F.xxhash64("doc_id", "s")), F.coalesce("h2", "tag"), F.col("h").isNull()]
+    nth = F.row_number().over(Window.partitionBy(*of).orderBy("doc_id", "tag", "s"))
+    cut_ = spans.withColumn("nth", nth).where("h is null or nth > 1")
+    return cut_.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
 
 
 def cut(col: pa.Array, cuts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -287,19 +355,22 @@ def cut(col: pa.Array, cuts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
     return text, np.bincount(w.doc, gone, minlength=n).astype(np.int64), np.diff(w.first)
 
 
-def _with_cuts(docs: DataFrame, min_words: int, batch_words: int = BATCH_WORDS) -> DataFrame:
-    keyed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tag"), F.struct(*docs.columns).alias("__row"))
-    spans = repeats(keyed, min_words, batch_words=batch_words)
+def _with_cuts(docs: DataFrame, min_words: int, batch_words: int = BATCH_WORDS, hot: int = HOT) -> DataFrame:
+    """(__id, __tag, __row, cuts). The columns of docs are inside __row, so that their names can't clash with others."""
+    fields = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tag"), F.struct(*fields).alias("__row"))
+    spans = repeats(keyed, min_words, batch_words=batch_words, hot=hot)
     return keyed.join(spans.hint("shuffle_hash"), ["__id", "__tag"], "left")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, batch_words: int = BATCH_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, batch_words: int = BATCH_WORDS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, text without later copies, n_words before, cut_words.
 
     Null texts stay null and rows without an id are left as they are (no order says which copy is
     first). Empty texts and texts of fewer than min_words words are never cut. Rows that share an id
-    are ordered by a hash of their text; equal rows count as one document and are cut alike. Other
-    columns of docs are ignored. A text that is one long copy ends up empty.
+    are ordered by a hash of their text; equal rows count as one document and are cut alike. Ids are
+    whole numbers (others make the cast fail). Other columns of docs are ignored. A text that is one
+    long copy ends up empty. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,27 +380,31 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, batch_words: int = BATCH_
                 text, gone, count = cut(part.column("text"), part.column("cuts"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(count), pa.array(gone)], ["doc_id", "text", "n_words", "cut_words"])
 
-    return _with_cuts(docs.select("doc_id", "text"), min_words, batch_words).mapInArrow(run, "doc_id long, text string, n_words long, cut_words long")
+    return _with_cuts(docs.select("doc_id", "text"), min_words, batch_words, hot).mapInArrow(run, "doc_id long, text string, n_words long, cut_words long")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies cut from text, all columns; n_chars, where there is one, follows the text.
+    """docs with later copies cut from text, all columns, whatever their names; n_chars, where there is one, follows the text.
 
-    A document of which no word is left goes; one that had no words stays.
+    A document of which no word is left goes; one that had no words stays. Nulls, ties and repeated rows as in dedup().
     """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column("__row")
-            flat = pa.RecordBatch.from_arrays([*(whole.field(i) for i in range(len(names))), batch.column("cuts")], [*names, "__cuts"])
+            at = names.index("text")
+            # by place, not by name: any name may be a column of docs
+            flat = pa.RecordBatch.from_arrays([whole.field(at), batch.column("cuts"), pa.array(np.arange(batch.num_rows))], ["text", "cuts", "nth"])
             for part in slices(flat):
-                text, gone, count = cut(part.column("text"), part.column("__cuts"))
-                cols = [text if c == "text" else part.column(c) for c in names]
+                text, gone, count = cut(part.column("text"), part.column("cuts"))
+                first = part.column("nth")[0].as_py()
+                cols = [text if i == at else whole.field(i).slice(first, part.num_rows) for i in range(len(names))]
                 if "n_chars" in names:
+                    n = names.index("n_chars")
                     touched = pa.array(gone > 0)
-                    size = pa.compute.utf8_length(text).cast(part.column("n_chars").type)
-                    cols[names.index("n_chars")] = pa.compute.if_else(touched, size, part.column("n_chars"))
+                    size = pa.compute.utf8_length(text).cast(cols[n].type)
+                    cols[n] = pa.compute.if_else(touched, size, cols[n])
                 out = pa.RecordBatch.from_arrays(cols, names)
                 yield out.filter(pa.array((gone == 0) | (gone < count)))
 

@@ -133,6 +133,45 @@ def test_suffix_brute_force(spark, batch_words):
     assert sum(map(len, got.values())) < sum(len(t.split()) for _, t in docs)
 
 
+@pytest.mark.parametrize("hot", [1, 4, 20])
+def test_suffix_hot_anchors_brute_force(spark, hot):
+    """Anchors beyond hot occurrences are settled by their runs: the same words are cut."""
+    docs = corpus(5, 120)
+    line = " ".join(f"licence{i}" for i in range(45))
+    docs += [(1000 + i, f"{' '.join(f'x{i}y{j}' for j in range(30))} {line} {' '.join(f'z{i}y{j}' for j in range(i % 9))}") for i in range(60)]
+    docs += [(2000 + i, f"start{i % 3} " + " ".join(f"long{j}" for j in range(90))) for i in range(60)]
+    docs.append((5000, " ".join(["again"] * 130)))
+    got = {x.doc_id: x.text.split() for x in suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot=hot, batch_words=700).collect()}
+    assert got == cut_brute(docs, suffix.MIN_WORDS)
+
+
+def test_suffix_line_that_all_share(spark):
+    """20 000 texts that share a line of 12 words and nothing else: no cuts, and no bucket of them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"line{i}" for i in range(12))
+    docs = spark.range(20_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"a{j}b"), "id") for j in range(45)), F.lit(line), *(F.concat(F.lit(f"c{j}d"), "id") for j in range(45))).alias("text"))
+    began = time.perf_counter()
+    assert suffix.dedup(docs).where("cut_words > 0").count() == 0
+    assert time.perf_counter() - began < 60
+
+
+def test_suffix_clashing_names(spark):
+    p = " ".join(f"p{i}" for i in range(70))
+    rows = spark.createDataFrame([(1, p, 1, 2, 3, 4, 5), (2, p + " more", 1, 2, 3, 4, 5)], "doc_id long, text string, __cuts int, cuts int, __id int, nth int, `a.b` int")
+    kept = suffix.drop_repeats(rows)
+    assert kept.columns == rows.columns and {x.doc_id: x.text for x in kept.collect()} == {1: p, 2: "more"}
+
+
+def test_suffix_rows_that_share_an_id(spark):
+    p = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, p + " one"), (1, p + " two"), (2, p + " three"), (2, p + " three")]
+    got = sorted((x.doc_id, x.cut_words) for x in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 70), (2, 70), (2, 70)]
+
+
 def test_previous_factors_brute_force():
     r = np.random.default_rng(2)
     for _ in range(30):
