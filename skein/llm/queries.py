@@ -95,7 +95,10 @@ ORACLE: dict[str, str] = {
         sig AS (SELECT DISTINCT doc_id, word || ' ' || array_to_string(ws[upto + 1 : upto + 3], ' ') AS s FROM n JOIN content USING (doc_id) WHERE spot AND upto + 3 <= len(ws)),
         size AS (SELECT doc_id, count(*) AS n FROM sig GROUP BY doc_id),
         common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sig a JOIN sig b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-        edge AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE p.n >= 3 AND q.n >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.5),
+        whole AS (SELECT doc_id, md5(string_agg(word, ' ' ORDER BY loc)) AS ws FROM w GROUP BY doc_id),
+        equal AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS least FROM whole),
+        edge AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE p.n >= 3 AND q.n >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.5
+            UNION SELECT doc_id, least FROM equal WHERE doc_id <> least UNION SELECT least, doc_id FROM equal WHERE doc_id <> least),
         reach(a, b) AS (SELECT x, x FROM edge UNION SELECT reach.a, edge.y FROM reach JOIN edge ON edge.x = reach.b),
         root AS (SELECT a AS doc_id, min(b) AS r FROM reach GROUP BY a)
         SELECT d.doc_id, coalesce(size.n, 0)::INT AS n_signatures, coalesce(r, d.doc_id) AS group_id, coalesce(r, d.doc_id) = d.doc_id AS kept

@@ -5,11 +5,15 @@ of its signatures; near copies have a Jaccard similarity of at least THRESHOLD.
 exact: in any fixed order of signatures, two such sets share one among their first
 n - ceil(THRESHOLD * n) + 1 (n: set size), and their sizes lie within a factor THRESHOLD.
 
+Texts whose words are the same are one group, however few signatures they have; near copies are
+looked for among texts of LEAST_SIGNATURES signatures or more.
+
 Order is free, so signatures that many texts hold come last (a bounded table of the heaviest,
 counted over all texts): a passage that thousands share is then rarely what brings texts
-together. A bucket's sets are sorted by size; partners end where the size partition does, and
-a pair is compared only if its sizes and the signatures behind the shared one still allow the
-threshold.
+together. A bucket's sets are sorted by size and read as a stream; partners end where the size
+partition does, which is all that is held, and a pair is compared only if its sizes and the
+signatures behind the shared one still allow the threshold. A bucket that is large all the same
+is split into blocks that meet in pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_word, mix, ragged, slices, stored, words
+from .common import Words, hash_word, mix, ragged, slices, stored, words
 from .graph import components, join_labels
 
 THRESHOLD = 0.5
 CHAIN = 3
-#: Fewer signatures than this don't tell texts apart; such texts are left alone.
+#: Fewer signatures than this don't tell texts apart; such texts are near copies only of texts with the same words.
 LEAST_SIGNATURES = 3
-#: Entries of the table of heavy signatures, and the count in one partition from which one is looked at.
+#: Sets of a bucket that are solved together; larger buckets are split into blocks.
+BLOCK = 4096
+#: Entries of the table of heavy signatures, and the count in one batch of rows from which one is looked at.
 HEAVY, HEAVY_LOCAL = 100_000, 4
 ANCHORS = "the a an is le la un une est der die das ein ist el una es".split()
 COMMON = ANCHORS + (
@@ -52,8 +58,10 @@ def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(signatures of all texts side by side, offsets); each text's are distinct and ascending."""
-    w = words(col, normalised=True)
-    n = len(col)
+    return _signatures(words(col, normalised=True), len(col))
+
+
+def _signatures(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     common = _among(w.hash, _known(COMMON))
     spots = np.flatnonzero(_among(w.hash, _known(ANCHORS)))
     content = np.flatnonzero(~common)
@@ -137,17 +145,17 @@ def _solve(key: np.ndarray, node: np.ndarray, rest: np.ndarray, flat: np.ndarray
 def _edges(sent: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows = 0
+        rows, limit = 0, 20_000
 
         def solve(cut: int | None) -> pa.RecordBatch:
             nonlocal held, rows
             key, node, rest, size, flat = (np.concatenate(x) for x in zip(*held))
-            cut = len(key) if cut is None else int(np.searchsorted(key, key[-1]))
-            edge = int(size[:cut].sum())
-            first = np.cumsum(size[:cut]) - size[:cut]
-            a, b = _solve(key[:cut], node[:cut], rest[:cut], flat[:edge].astype(np.uint64), first, size[:cut], threshold)
-            held = [(key[cut:], node[cut:], rest[cut:], size[cut:], flat[edge:])]
-            rows = len(key) - cut
+            first = np.cumsum(size) - size
+            a, b = _solve(key, node, rest, flat.astype(np.uint64), first, size, threshold)
+            # of the last bucket, sets that larger ones can still be near to go on; links that were found are found again
+            on = np.zeros(len(key), bool) if cut is None else (key == key[-1]) & (size >= threshold * size[-1])
+            held = [(key[on], node[on], rest[on], size[on], flat[np.repeat(on, size)])]
+            rows = int(on.sum())
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in batches:
@@ -156,8 +164,9 @@ def _edges(sent: DataFrame, threshold: float) -> DataFrame:
             flat, off = _unpack(batch.column("sigs"), np.uint32)
             held.append((batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("rest").to_numpy().astype(np.int64), np.diff(off), flat))
             rows += batch.num_rows
-            if rows >= 20_000 and held[-1][0][0] != held[-1][0][-1]:
+            if rows >= limit:
                 yield solve(0)
+                limit = max(20_000, 2 * rows)
         if rows:
             yield solve(None)
 
@@ -167,33 +176,42 @@ def _edges(sent: DataFrame, threshold: float) -> DataFrame:
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Near-copy groups: doc_id, n_signatures, group_id (least doc_id of the group), kept (doc_id = group_id).
 
-    One row per distinct id of a row with an id. Null and empty texts, and those with fewer than
-    LEAST_SIGNATURES signatures, are groups of their own. Rows that share an id count as one document
-    (n_signatures: the largest). Equal sets are always one group. Groups are the connected components
-    of all pairs with a Jaccard similarity of at least threshold, 64-bit hashes aside. Other columns
-    of docs are ignored.
+    One row per distinct id of a row with an id. Texts with the same words in the same order (case and
+    punctuation aside) are always one group, and so are equal sets of LEAST_SIGNATURES signatures or more;
+    null texts and those without words are groups of their own. Rows that share an id count as one document
+    (n_signatures: the largest). Groups are the connected components of these and of all pairs with a Jaccard
+    similarity of at least threshold among texts of LEAST_SIGNATURES signatures or more, 64-bit hashes aside.
+    Ids are whole numbers (others make the cast fail). Other columns of docs are ignored; an empty table gives no rows.
     """
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, off = signatures(part.column("text"))
+                w = words(part.column("text"), normalised=True)
+                h, off = _signatures(w, part.num_rows)
+                # few signatures: the digest is that of the words in their order, else that of the set
+                few, some = np.diff(off) < LEAST_SIGNATURES, np.diff(w.first) > 0
                 with np.errstate(over="ignore"):
-                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))]) for salt in (1, 2)]
-                    digest = [pa.array((x[off[1:]] - x[off[:-1]]).view(np.int64)) for x in sums]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off).astype(np.int32)), *digest, _binary(h, off)], ["doc_id", "n", "d1", "d2", "sigs"])
+                    nth = np.arange(len(w.hash)) - w.first[w.doc]
+                    digest = []
+                    for salt in (1, 2):
+                        x = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))])
+                        y = np.concatenate([[np.uint64(0)], np.cumsum(mix(w.hash + mix((nth + salt * 0x9E3779B9).astype(np.uint64))))])
+                        digest.append(pa.array(np.where(few, y[w.first[1:]] - y[w.first[:-1]], x[off[1:]] - x[off[:-1]]).view(np.int64)))
+                cols = [part.column("doc_id"), pa.array(np.diff(off).astype(np.int32)), pa.array(some), *digest, _binary(h, off)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "some", "d1", "d2", "sigs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    spots = stored(rows.mapInArrow(spot, "doc_id long, n int, d1 long, d2 long, sigs binary"), "spots")
+    spots = stored(rows.mapInArrow(spot, "doc_id long, n int, some boolean, d1 long, d2 long, sigs binary"), "spots")
     # equal sets have equal 128-bit digests: one of them stands for all
     told = spots.where(F.col("n") >= LEAST_SIGNATURES)
     nodes = stored(told.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sigs").alias("sigs")), "sets")
 
     def heavy_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [_unpack(batch.column("sigs"), np.uint64)[0] for batch in batches]
-        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
-        on = n >= HEAVY_LOCAL
-        yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on])], ["h", "n"])
+        for batch in batches:
+            h, n = np.unique(_unpack(batch.column("sigs"), np.uint64)[0], return_counts=True)
+            on = n >= HEAVY_LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on])], ["h", "n"])
 
     top = nodes.select("sigs").mapInArrow(heavy_here, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).collect()
     order = np.argsort(np.array([r.h for r in top], np.int64).view(np.uint64), kind="stable")
@@ -221,6 +239,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     at = Window.partitionBy("key")
     often = shared.withColumns({"m": F.count("*").over(at), "b1": F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(at), "b2": F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(20,0)")).over(at)}).where("m > 1")
     buckets = often.groupBy("m", "b1", "b2", "node").agg(F.max("rest").alias("rest")).withColumn("key", F.xxhash64("m", "b1", "b2"))
+    # every two blocks of a large bucket meet under a key of their own
+    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    others = F.when(F.col("m") <= BLOCK, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), count - 1), lambda x: x != F.col("own")))
+    met = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    buckets = buckets.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("key", met)
     listed = buckets.groupBy("node").agg(F.collect_list(F.struct("key", "rest")).alias("keys"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +272,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sent = nodes.join(listed.hint("shuffle_hash"), "node").select("node", "sigs", "keys").mapInArrow(send, "key long, node long, rest int, n int, sigs binary")
     near = _edges(sent, threshold)
     same = told.select("doc_id", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    few = spots.where((F.col("n") < LEAST_SIGNATURES) & F.col("some")).select("doc_id", "d1", "d2")
+    firsts = few.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1")
+    same = same.unionByName(few.join(firsts, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     root = components(near.unionByName(same)).withColumnRenamed("node", "doc_id")
     ids = spots.groupBy("doc_id").agg(F.max("n").alias("n_signatures"))
     group = F.coalesce("root", "doc_id")

@@ -91,11 +91,25 @@ def test_spotsigs_brute_force(spark):
     docs = corpus(3, 160)
     h, off = spotsigs.signatures(pa.array([t for _, t in docs]))
     sets = [set(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= 3 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if docs[i][1] == docs[j][1] or min(len(sets[i]), len(sets[j])) >= 3 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5]
     got = {x.doc_id: x.group_id for x in spotsigs.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert pairs and [got[i] for i in range(len(docs))] == components_of(len(docs), pairs)
 
 
+def test_spotsigs_equal_texts_of_any_length(spark):
+    rows = [(1, "one"), (2, "One!"), (3, "two words"), (4, "words two"), (5, "two, words"), (6, "..."), (7, "!!!"), (8, ""), (9, None), (10, None), (11, "the cat sat on mats"), (12, "The cat sat on mats."), (13, "cats see the cat sat on mats")]
+    got = {x.doc_id: x.group_id for x in spotsigs.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11, 12: 11, 13: 13}
+
+
+@pytest.mark.parametrize("block", [2, 9])
+def test_spotsigs_blocks_change_nothing(spark, monkeypatch, block):
+    docs = spark.createDataFrame(corpus(3, 160), "doc_id long, text string")
+    whole = sorted(map(tuple, spotsigs.groups(docs).collect()))
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    assert sorted(map(tuple, spotsigs.groups(docs).collect())) == whole
+
+
 def test_spotsigs_chains():
     h, off = spotsigs.signatures(pa.array(["the cat sat on mats", "THE cat, sat! the mats", "the cat"]))
     assert np.diff(off).tolist() == [1, 1, 0] and h[0] == h[1]
