@@ -342,14 +342,16 @@ class Pieces:
         total = np.concatenate([[0], np.cumsum(every)])
         return self.kept_ids[ragged(first, every)], np.concatenate([[0], total[np.searchsorted(begin, ends)]])
 
-    def sentences(self, col: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of each sentence, number of sentences of each text). A sentence begins at a text's first
+    def encoded_sentences(self, col: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """encode(), tokens of each sentence, number of sentences of each text. A sentence begins at a text's first
         word and at every word behind one that ends in . ! ? or a line break; one of more than longest
         tokens is cut before the word that goes beyond."""
         full, begin, length, key, ends = self._words(col)
         if not len(begin):
-            return np.zeros(0, np.int64), np.zeros(len(col), np.int64)
-        every = self._solved(full, key, begin, length)[1]
+            return np.zeros(0, np.int32), np.zeros(len(col) + 1, np.int64), np.zeros(0, np.int64), np.zeros(len(col), np.int64)
+        first, every = self._solved(full, key, begin, length)
+        total = np.concatenate([[0], np.cumsum(every)])
+        ids, offsets = self.kept_ids[ragged(first, every)], np.concatenate([[0], total[np.searchsorted(begin, ends)]])
         row = np.searchsorted(ends, begin, side="right")
         head = np.ones(len(begin), bool)
         head[1:] = (row[1:] != row[:-1]) | np.isin(full[begin[1:] - 1], _STOPS)
@@ -369,7 +371,7 @@ class Pieces:
                     head[word] = True
             at = np.flatnonzero(head)
             tokens = np.add.reduceat(every, at)
-        return tokens, np.bincount(row[at], minlength=len(col))
+        return ids, offsets, tokens, np.bincount(row[at], minlength=len(col))
 
     def _solved(self, full: np.ndarray, key: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, count) of each word's ids in kept_ids. Words solved before are looked up by their hashes."""

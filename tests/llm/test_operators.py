@@ -76,6 +76,19 @@ def test_words_hash_alike_everywhere():
     assert words(pa.array(["ab", "ab"])).hash.tolist() == [words(pa.array(["ab"])).hash[0]] * 2
 
 
+def test_words_of_a_long_text_take_memory_in_proportion():
+    import tracemalloc
+
+    t = " ".join(f"word{i % 5000}" for i in range(1_000_000)) + " " + "x" * 1_000_000 + " end"
+    tracemalloc.start()
+    w = words(pa.array([t, "word1 end"]), True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 * len(t) and len(w.hash) == 1_000_004
+    assert w.hash[1] == w.hash[-2] and w.hash[-3] == w.hash[-1]
+    assert w.hash[1_000_000] == words(pa.array(["x" * 1_000_000]), True).hash[0] != words(pa.array(["x" * 999_999]), True).hash[0]
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 400)]
@@ -422,6 +435,60 @@ def test_packing_accounts_for_all_tokens(spark, sf, awkward, nothing):
     assert sum(x.truncated for x in packing.pack(awkward).collect()) < 100
 
 
+def test_long_words_split_alike():
+    own = pieces.Pieces.load(pieces.MODEL)
+    r = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ab", "日本語中文字éü"):
+        raw = np.frombuffer((" " + "".join(r.choice(letters) for _ in range(7000))).encode(), np.uint8)
+        plain = own._split(raw, np.array([0]), np.array([len(raw)]))
+        for got in (own.split_words(raw, np.array([0]), np.array([len(raw)])), own._split_one(raw.tobytes())):
+            assert np.array_equal(plain[0], got[0]) and plain[1].tolist() == got[1].tolist()
+
+
+def test_megabytes_without_a_space():
+    import time
+
+    own = pieces.Pieces.load(pieces.MODEL)
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(2_000_000)), "a" * 300_000, "".join(r.choice("日本語中文字") for _ in range(200_000))]
+    began = time.perf_counter()
+    for t in texts:
+        raw, _ = own.decode(*own.encode(pa.array([t])))
+        assert raw.tobytes().decode() == t
+    assert time.perf_counter() - began < 60
+
+
+def test_packing_windows_hold_the_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {x.doc_id: x.ids for x in pieces.encode(docs).collect()}
+    for capacity, shard_docs, solve_tokens in ((64, 20, 1000), (packing.CAPACITY, packing.SHARD_DOCS, packing.SOLVE_TOKENS)):
+        windows = sorted(packing.pack(docs, capacity, shard_docs=shard_docs, solve_tokens=solve_tokens).collect(), key=lambda x: (x.shard, x.window))
+        assert len({(x.shard, x.window) for x in windows}) == len(windows)
+        got: dict[int, dict[int, int]] = {}
+        lost = 0
+        for x in windows:
+            assert len(x.ids) == x.n_tokens == sum(x.tokens) <= capacity
+            lost += x.truncated
+            at = 0
+            for d, first, n in zip(x.doc_ids, x.first_token, x.tokens):
+                got.setdefault(d, {}).update(zip(range(first, first + n), x.ids[at : at + n]))
+                at += n
+        assert all(want[d][i] == t for d, tokens in got.items() for i, t in tokens.items())
+        assert sum(map(len, got.values())) + lost == sum(map(len, want.values()))
+        order = [d for x in windows for d in x.doc_ids]
+        assert order == sorted(order)
+    back = {x.doc_id: x.text for x in pieces.decode(spark.createDataFrame([(d, [t for _, t in sorted(tokens.items())]) for d, tokens in got.items() if len(tokens) == len(want[d])], "doc_id long, ids array<int>")).collect()}
+    text = {x.doc_id: x.text for x in docs.collect()}
+    assert len(back) >= 150 and all(text[d] == t for d, t in back.items())
+
+
+def test_packing_sparse_ids_share_windows(spark):
+    rows = [(i, f"text number {i}. It is short.") for i in range(50)]
+    near = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    far = packing.pack(spark.createDataFrame([(i * 1_000_003, t) for i, t in rows], "doc_id long, text string")).collect()
+    assert len(near) == len(far) == 1 and near[0].ids == far[0].ids
+
+
 # 8
 
 def toxic_world(seed: int):
