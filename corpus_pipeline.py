@@ -33,7 +33,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of tokens in document order."""
+    """Windows of token ids in document order, with the documents whose tokens they are."""
     return packing.pack(docs)
 
 
