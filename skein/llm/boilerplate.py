@@ -29,8 +29,10 @@ STOPWORDS = {
     "es": "el la los las de del que y en un una ser se no haber por con su para como estar tener le lo todo pero más hacer o poder este ir ese si me ya ver porque dar cuando muy sin vez mucho saber qué sobre mi alguno mismo también hasta año dos querer entre es al son fue ha sus".split(),
 }
 _STOP = {k: frozenset(v) for k, v in STOPWORDS.items()}
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|svg|head|template)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>")
+# Every pattern either matches or gives up at the next mark, so a page is read in time that follows its length.
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|svg|template|title)\b.*?(?:</\1(?=[\s>/])[^<>]*>?|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>", re.S | re.I)
+#: A tag ends at the first > outside quotes; a quote that isn't closed is a character like any other.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>"'])(?>[^<>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|"[^"<>]*"|'[^'<>]*'|["'=])*+>|<(/?)([a-zA-Z][a-zA-Z0-9]*)>""")
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -143,8 +145,10 @@ def extract(page: str | None) -> tuple[str, int, int]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, html): page_id, text, n_blocks, n_good.
 
-    Null and empty pages have no blocks and empty text. Whole pages are read, broken markup too: an
-    unclosed comment or script reaches to the end, a tag that the page breaks off in isn't text.
+    Null and empty pages have no blocks and empty text. Whole pages are read, broken markup too, in time
+    that follows their length: an unclosed comment, script or title reaches to the end, a head need not be
+    closed, a tag ends at the first > outside quoted values, a tag that the page breaks off in isn't text.
+    Ids are whole numbers (others make the cast fail). An empty table gives no rows.
     Repeated rows are extracted alike; other columns are ignored. Nothing is shuffled.
     """
 

@@ -306,6 +306,26 @@ def test_token_store(spark, sf, tmp_path, encoding):
     assert file.metadata.row_group(0).column(0).has_offset_index and file.metadata.row_group(0).column(0).has_column_index
 
 
+def test_token_store_range_read_opens_few_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(4000, numPartitions=8).selectExpr("id * 7919 % 4000 doc_id", "array(cast(id as int)) ids")
+    for name, clustered in (("as it comes", False), ("clustered", True)):
+        path = str(tmp_path / name)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tokenstore.write(rows, path, clustered=clustered)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spans = [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics for f in (tmp_path / name).glob("*.parquet")]
+        met = sum(x.min <= 119 and x.max >= 100 for x in spans)
+        assert len(spans) >= 4 and (met <= 2 if clustered else met == len(spans))
+        assert sorted(r.doc_id for r in tokenstore.tokens(spark, path, 100, 119).collect()) == list(range(100, 120))
+
+
+def test_token_store_without_metadata(spark):
+    rows = tokenstore.encode_with_metadata(spark.createDataFrame([(1, "a b", 2), (1, "a b", 2), (None, None, 3)], "doc_id long, text string, other int")).collect()
+    assert [(r.doc_id, r.lang, r.source, r.n_tokens) for r in rows] == [(1, None, None, 2), (1, None, None, 2), (None, None, None, 0)]
+
+
 def test_token_store_awkward(spark, awkward, nothing, tmp_path):
     tokenstore.write(tokenstore.encode_with_metadata(awkward), str(tmp_path / "a"))
     rows = spark.read.parquet(str(tmp_path / "a")).collect()
@@ -327,6 +347,108 @@ def test_boilerplate():
     assert text.split("\n") == ["Short head", GOOD, "Short one.", GOOD + "& more"] and good == 4 and n == 8
 
 
+def extract_brute(page: str) -> tuple[str, int, int]:
+    """The same rules over the standard library's parser, each neighbour looked up anew."""
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found, self.text, self.linked, self.links, self.skip, self.heading = [], "", 0, 0, 0, False
+
+        def close_block(self):
+            text = " ".join(self.text.split())
+            if text:
+                self.found.append((text, min(self.linked, len(text)), self.heading))
+            self.text, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "noscript", "svg", "template", "title"):
+                self.skip += 1
+                self.text += " "  # what is skipped parts words
+            elif not self.skip:
+                self.tag(tag, True)
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "noscript", "svg", "template", "title"):
+                self.skip = max(0, self.skip - 1)
+            elif not self.skip:
+                self.tag(tag, False)
+
+        def tag(self, name, begins):
+            if name == "a":
+                self.links = self.links + 1 if begins else max(0, self.links - 1)
+            elif name in boilerplate._BLOCK:
+                self.close_block()
+                if re.fullmatch("h[1-6]", name):
+                    self.heading = begins
+
+        def handle_comment(self, data):
+            self.text += " "
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.text += data
+                self.linked += len(" ".join(data.split())) * (self.links > 0)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.close_block()
+    labels = []
+    for text, linked, _ in r.found:
+        words_ = re.findall(r"[^\W\d_]+", text.lower())
+        density = max(sum(w in s for w in words_) for s in map(set, boilerplate.STOPWORDS.values())) / len(words_) if words_ else 0
+        if linked > 0.2 * len(text) or "\u00a9" in text:
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("bad" if linked else "short")
+        else:
+            labels.append(("good" if len(text) > 200 else "neargood") if density >= 0.25 else "neargood" if density >= 0.2 else "bad")
+
+    def near(kinds, i, step, wanted):
+        i += step
+        while 0 <= i < len(kinds):
+            if kinds[i] in wanted:
+                return kinds[i]
+            i += step
+        return "bad"
+
+    one = list(labels)
+    for i, k in enumerate(labels):
+        if k == "short":
+            sides = [(near(labels, i, d, ("good", "bad")), near(labels, i, d, ("good", "bad", "neargood"))) for d in (-1, 1)]
+            one[i] = sides[0][0] if sides[0][0] == sides[1][0] else "good" if ("bad", "neargood") in sides else "bad"
+    two = ["good" if k == "neargood" and "good" in (near(one, i, -1, ("good", "bad")), near(one, i, 1, ("good", "bad"))) else "bad" if k == "neargood" else k for i, k in enumerate(one)]
+    for i, (_, _, heading) in enumerate(r.found):
+        if heading and labels[i] == "short" and two[i + 1 : i + 2] == ["good"]:
+            two[i] = "good"
+    good = [t for (t, _, _), k in zip(r.found, two) if k == "good"]
+    return "\n".join(good), len(r.found), len(good)
+
+
+def test_boilerplate_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: (r.text, r.n_blocks, r.n_good) for r in boilerplate.extract_pages(spark.createDataFrame(rows)).collect()}
+    assert got == {r.page_id: extract_brute(r.html) for r in rows}
+    r = random.Random(3)
+    bits = ["<p>", "</p>", GOOD, "short bit", "<a href='x>y'>", "</a>", '<div data-x="1 > 2">', "</div>", "<h2>", "</h2>", " and the of", "&amp;", "<br>", "<!-- x -->", "<script>if (a<b) c</script>", "<title>t</title>"]
+    for _ in range(300):
+        page = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        assert boilerplate.extract(page) == extract_brute(page)
+
+
+def test_boilerplate_open_head_and_hostile_pages():
+    import time
+
+    assert boilerplate.extract(f"<html><head><title>T</title><body><p>{GOOD}</p>") == (GOOD, 1, 1)
+    began = time.perf_counter()
+    for page in ("<a " * 1_600_000, "<! " * 1_600_000, "<![CDATA[" * 500_000, "<script " * 600_000, '<a "' * 1_200_000, "<a ='" * 1_000_000, "<!--" * 1_200_000, "<a" + " " * 5_000_000):
+        boilerplate.extract(page)
+    assert time.perf_counter() - began < 60
+
+
 def test_boilerplate_passes():
     assert boilerplate.second_pass(["good", "short", "good"]) == ["good"] * 3
     assert boilerplate.second_pass(["bad", "short", "good"]) == ["bad", "bad", "good"]
