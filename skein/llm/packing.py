@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Cost of a token that is cut off, and of a cut inside a document, in padding tokens.
 TRUNCATION, SPLIT = 4, 16
 #: Documents a shard has on average, and the most shards: in larger tables a shard has more documents.
-SHARD_DOCS, MOST_SHARDS = 4096, 1 << 16
+SHARD_DOCS, MOST_SHARDS = 1024, 1 << 16
 #: Tokens from which a shard is packed up to the document that it is at; the next window begins behind that.
 SOLVE_TOKENS = 1 << 20
 
