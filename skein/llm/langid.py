@@ -25,6 +25,8 @@ from .common import slices, string_parts
 ORDER = 3
 #: Labelled documents taken per language for training; the bound of the sample.
 SAMPLE_DOCS = 120
+#: Longer texts don't take part in the sample; with the number above this bounds what comes to the driver.
+SAMPLE_BYTES = 1 << 16
 #: A text whose best code length is above this many bits a byte is in none of the languages
 #: (bytes that no tree foresees cost 8 bits and their escapes; labelled texts, keys and mixed ones too, stay below 6.2).
 MAX_BITS = 7.0
@@ -125,7 +127,7 @@ def code_lengths(model: PpmModel, raw: np.ndarray, offsets: np.ndarray) -> np.nd
     by = np.argsort(begin - end, kind="stable")
     begin, end = begin[by], end[by]
     warm = np.where(nth[by] > 0, model.order, 0)
-    symbols = cls[raw]
+    symbols = cls.astype(np.int16)[raw]
     state = np.zeros(len(by), np.int64)
     for k in range(model.order, 0, -1):
         on = warm > 0
@@ -163,7 +165,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
 
     The sample is the sample_docs rows of each language whose doc_id hashes lowest: the same
     rows however the table is split, chosen from two narrow columns before any text is read.
-    Rows without id, text or language don't take part.
+    Rows without id, text or language and texts of more than SAMPLE_BYTES bytes don't take part.
     """
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = [
@@ -172,7 +174,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
         .withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample_docs).select("doc_id").collect()
     ]
     samples: dict[str, list[str]] = {}
-    rows = docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").select("doc_id", "lang", "text").collect() if ids else []
+    rows = docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang", "text").collect() if ids else []
     for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
     return fit(samples, order)

@@ -17,6 +17,7 @@ windows found at most 24 in 100 toxic texts at 0.5 % false alarms; hashed words
 from __future__ import annotations
 
 import dataclasses
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ SPAN = 16
 LONG = 10_000
 #: Labelled documents of each class that are sampled; half train, half calibrate.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 6000
+#: Longer texts don't take part in the sample; with the numbers above this bounds what comes to the driver.
+SAMPLE_BYTES = 1 << 16
 TOXIC_DICT, ORDINARY_DICT = 8192, 16384
 #: Runs of words that a dictionary is trained on at most, spread evenly over the sample; bounds the trainer's memory.
 DICTIONARY_RUNS = 40_000
@@ -156,12 +159,15 @@ def _cut(bad: np.ndarray, good: np.ndarray) -> float:
 
 
 def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
-    """Content of a trained dictionary (its entropy tables hold for plain literals, not for hashes, and are left out)."""
+    """A trained dictionary, entropy tables and all, to be used as plain content: its tables hold for plain literals, not for hashes.
+
+    Where there is too little to train on, zstandard refuses; the content is then the last size bytes of what there is.
+    """
     n = len(tokens) // per
     cut = [tokens[i * per : i * per + per].tobytes() for i in (range(n) if n <= DICTIONARY_RUNS else np.linspace(0, n - 1, DICTIONARY_RUNS).astype(np.int64))]
     try:
-        return zstandard.train_dictionary(size, cut).as_bytes()[256:]
-    except zstandard.ZstdError:  # too little text to train on: all of it, newest last
+        return zstandard.train_dictionary(size, cut).as_bytes()
+    except zstandard.ZstdError:
         return b"".join(cut)[-size:]
 
 
@@ -171,19 +177,24 @@ def _joined(texts: list[str]) -> list[str]:
     return [" ".join(texts[a:b]) for a, b in zip(np.searchsorted(upto, np.unique(upto)), np.searchsorted(upto, np.unique(upto), side="right"))]
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
-    """Dictionaries from every other text, the threshold from the others. Copies and near copies count once:
-    else the rare words of a toxic text that was copied would look like what sets toxic texts apart."""
-    toxic, ordinary = _apart_from_copies(toxic), _apart_from_copies(ordinary)
-    kinds, n = np.unique(_word_hashes(toxic[::2])[1], return_counts=True)
-    plain, once = _word_hashes(ordinary[::2])
-    known, m = np.unique(once, return_counts=True)
+def telling_words(toxic: list[str], ordinary: list[str]) -> np.ndarray:
+    """Hashes of the words in at least LEAST_TEXTS toxic texts and in LEAST_RATIO times the share of ordinary ones (half a text at least)."""
+    kinds, n = np.unique(_word_hashes(toxic)[1], return_counts=True)
+    known, m = np.unique(_word_hashes(ordinary)[1], return_counts=True)
     there = np.zeros(len(kinds), np.int64)
     if len(known):
         i = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
         there = np.where(known[i] == kinds, m[i], 0)
-    rate, other = n / max(len(toxic[::2]), 1), (there + 0.5) / max(len(ordinary[::2]), 1)
-    apart = kinds[(n >= LEAST_TEXTS) & (rate >= LEAST_RATIO * other)]
+    rate, other = n / max(len(toxic), 1), (there + 0.5) / max(len(ordinary), 1)
+    return kinds[(n >= LEAST_TEXTS) & (rate >= LEAST_RATIO * other)]
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
+    """Dictionaries from every other text, the threshold from the others. Copies and near copies count once:
+    else the rare words of a toxic text that was copied would look like what sets toxic texts apart."""
+    toxic, ordinary = _apart_from_copies(toxic), _apart_from_copies(ordinary)
+    apart = telling_words(toxic[::2], ordinary[::2])
+    plain = _word_hashes(ordinary[::2])[0]
     # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too.
     # Windows of toxic text around those words did worse: their ordinary words save bytes in clean texts as well
     shuffled = np.random.default_rng(8)
@@ -201,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
     The sample holds the SAMPLE_TOXIC and SAMPLE_ORDINARY labelled ids whose hashes are lowest;
-    rows without id, label or text don't take part, an id labelled both ways counts as toxic.
+    rows without id, label or text and texts of more than SAMPLE_BYTES bytes don't take part, an id
+    labelled both ways counts as toxic. Without toxic labels there is a warning, and nothing is toxic.
     """
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     at_most = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)
@@ -209,16 +221,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= SAMPLE_ORDINARY) & (F.col("nth") <= at_most))
     )
-    label = {r.doc_id: r.toxic for r in picked.select("doc_id", "toxic").collect()}
-    held = docs.sparkSession.sparkContext.broadcast(np.array(sorted(label), np.int64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(np.isin(np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64), held.value)))
-
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = sorted((r.doc_id, r.text) for r in texts.mapInArrow(run, texts.schema).collect())
-    return fit([t for i, t in rows if label[i] == 1], [t for i, t in rows if label[i] != 1])
+    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    # SAMPLE_TOXIC + SAMPLE_ORDINARY rows by construction
+    usable = docs.where("doc_id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = sorted(tuple(r) for r in usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect())
+    toxic, ordinary = ([t for _, t, bad in rows if (bad == 1) == wanted] for wanted in (True, False))
+    if not toxic:
+        warnings.warn("no row is labelled toxic: the model calls nothing toxic", stacklevel=2)
+    return fit(toxic, ordinary)
 
 
 RESULT = T.StructType([
@@ -251,7 +261,10 @@ def classify(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The rows of docs that classify() doesn't call toxic, with all their columns."""
+    """The rows of docs that classify() doesn't call toxic, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do rows without an id, as ids aren't looked at; repeated rows are judged alike.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

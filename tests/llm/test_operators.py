@@ -631,6 +631,64 @@ def test_toxicity_held_out():
     assert rate(bad[200:]) >= 0.95 and rate(good[600:]) <= 0.02
 
 
+def test_toxicity_fit_brute_force():
+    from collections import Counter
+
+    from skein.llm.common import hash_word
+
+    bad, good = toxic_world(9)
+    bad, good = bad[:120], good[:200]
+    n, m = (Counter(w for t in x for w in set(t.split())) for x in (bad, good))
+    want = {w for w in n if n[w] >= toxicity.LEAST_TEXTS and n[w] / len(bad) >= toxicity.LEAST_RATIO * (m[w] + 0.5) / len(good)}
+    assert want and set(toxicity.telling_words(bad, good).tolist()) == {hash_word(w) for w in want}
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = r.integers(0, 12, r.integers(1, 30)) / 4, r.integers(0, 6, r.integers(0, 30)) / 4
+        cuts = sorted({c for c in [*x, *y] if c > 0})
+        errors = [np.mean(x < c) + 3 * (np.mean(y >= c) if len(y) else 0) for c in cuts]
+        assert toxicity._cut(x, y) == (cuts[int(np.argmin(np.round(errors, 12)))] if cuts else np.inf)
+    model = toxicity.fit(bad, good)
+    half = toxicity._apart_from_copies(bad)[1::2], toxicity._apart_from_copies(good)[1::2]
+    assert model.threshold == toxicity._cut(*(toxicity.scores(model, pa.array(x))[0] for x in half))
+
+
+def test_toxicity_equal_to_the_threshold_is_toxic():
+    model = toxicity.ToxicModel(b"", b"", 0.5, 7)
+    assert toxicity._toxic(model, np.array([0.5, 0.49, 0.49]), np.array([0, 7, 6])).tolist() == [True, True, False]
+
+
+def test_dictionaries_keep_all_that_was_trained():
+    v = simhash.mix(np.arange(40, dtype=np.uint64))
+    few = toxicity._dictionary(v, 8, 160)
+    assert few == v[-20:].tobytes()  # too little to train on: the last of it
+    trained = toxicity._dictionary(np.tile(v, 400), 8, 2048)
+    assert trained[:4] == bytes.fromhex("37a430ec") and sum(x.tobytes() in trained for x in v) >= 36
+
+
+def test_toxicity_without_toxic_labels_warns(spark, awkward):
+    with pytest.warns(UserWarning, match="toxic"):
+        model = toxicity.train(awkward, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert toxicity.classify(awkward, model).where("toxic").count() == 0
+
+
+def test_langid_ties_go_to_the_first_language():
+    model = langid.fit({"b": ["same text here"], "a": ["same text here"]})
+    raw, offsets = string_parts(pa.array(["same text"]))
+    assert model.langs[langid.decide(model, langid.code_lengths(model, raw, offsets), np.diff(offsets), 8.0)[0][0]] == "a"
+
+
+def test_pieces_ties_go_to_the_longer_last_piece():
+    own = pieces.Pieces([("<unk>", 0.0, 2), ("a", -1.0, 1), ("aa", -2.0, 1), ("\u2581", -1.0, 1)])
+    assert own.encode(pa.array(["aa"]))[0].tolist() == [3, 2]
+
+
+def test_packing_ties():
+    assert packing.cuts([4, 4, 4], [True, True, True], 8, 4, 16)[1] in ([1, 3], [2, 3])
+    cost, ends = packing.cuts([4, 4], [True, True], 8, 4, 16)
+    assert (cost, ends) == (0, [2])  # the longer window
+    assert packing.cuts([5, 4], [True, True], 8, 7, 16) == (7, [1, 2])  # 7 padding or 7 lost: the one that isn't truncated
+
+
 def test_toxicity_scores_are_compressed_lengths():
     model = toxicity.fit(*toxic_world(8))
     plain, toxic = model.compressors()
