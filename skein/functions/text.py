@@ -91,8 +91,20 @@ def url_decode(t: Column) -> Column:
     return F.coalesce(F.try_url_decode(t), t)
 
 
-def page_number(request: Column) -> Column:
-    return F.greatest(F.coalesce(F.regexp_extract(request, r"[?&]p=([0-9]{1,9})", 1).try_cast("int"), F.lit(1)), F.lit(1))
+def page_number(request: Column, name: str = "p") -> Column:
+    """The value of the request's parameter name, at least 1."""
+    return F.greatest(F.coalesce(F.regexp_extract(request, rf"[?&]{name}=([0-9]{{1,9}})", 1).try_cast("int"), F.lit(1)), F.lit(1))
+
+
+def rarest_first(words: Column, n_docs: Column) -> Column:
+    """The distinct words of a query, those in the fewest documents first, equal ones in word order. n_docs: map from word to documents."""
+    pairs = F.transform(F.array_distinct(words), lambda w: F.struct(F.coalesce(n_docs[w], F.lit(0)).cast("long").alias("n"), w.alias("w")))
+    return F.transform(F.sort_array(pairs), lambda x: x["w"])
+
+
+def place_in_sorted(values: Column, value: Column) -> Column:
+    """0-based place of value in an ascending array, -1 if it isn't there."""
+    return F.array_position(values, value).cast("int") - 1
 
 
 def english_cut(tok: DataFrame, known: DataFrame, run: int = 20) -> DataFrame:

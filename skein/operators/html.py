@@ -55,10 +55,10 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def anchor_words(pages: DataFrame) -> DataFrame:
-    """(page_id, href, word): words of each link's text."""
-    pair = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]+)"[^>]*>[^<]*</a>'), F.lit(0))
+    """(page_id, href, word): words of each link's text, markup inside it aside."""
+    pair = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="[^"]+"[^>]*>.*?</a>'), F.lit(0))
     one = pages.select("page_id", F.explode(pair).alias("a"))
-    text = F.regexp_extract("a", r"(?is)>([^<]*)</a>$", 1)
+    text = strip_tags(F.col("a"))
     return one.select("page_id", F.regexp_extract("a", r'(?is)href="([^"]+)"', 1).alias("href"), F.explode(T.words_of(text)).alias("word"))
 
 

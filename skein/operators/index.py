@@ -1,10 +1,61 @@
-"""Positional inverted index: build, statistics, lookups, round trip, storage."""
+"""Positional inverted index: build, statistics, lookups, round trip, storage.
+
+A stored index is a folder of three tables: postings in term order with their chunk, the
+dictionary with document and occurrence counts, and the documents with lengths and chunk.
+Searches read it; nothing is tokenised again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import dataclasses
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..log import logger
+
+#: Documents of a chunk, and bytes of its postings, at which the next begins.
+CHUNK_DOCS, CHUNK_BYTES = 500_000, 512 << 20
+#: Bytes that a posting counts for a chunk.
+POST_BYTES = 4
+NO_URL = "<invalid-doc>"
+POSTINGS = "term string, doc_id long, pos array<int>, tf int"
+_log = logger(__name__)
+
+
+def postings_of(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
+    """invert() of documents whose words are a column: a document's words lie in one row, so nothing is shuffled.
+
+    Null ids and null or empty word lists have no postings; rows that share an id have postings each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lists = part.column("words")
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                code = coded.indices.to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                place = (np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) + 1).astype(np.int32)
+                key = row * len(coded.dictionary) + code
+                order = np.argsort(key, kind="stable")
+                s = key[order]
+                head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                tf = np.diff(np.append(head, len(s))).astype(np.int32)
+                pos = pa.ListArray.from_arrays(pa.array(np.append(head, len(s)).astype(np.int32)), pa.array(place[order]))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order[head]])), part.column("doc_id").take(pa.array(row[order[head]])), pos, pa.array(tf)], ["term", "doc_id", "pos", "tf"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words")).where("doc_id is not null and size(words) > 0")
+    return rows.mapInArrow(run, POSTINGS)
+
 
 def invert(tok: DataFrame) -> DataFrame:
     """(term, doc_id, pos, tf): ascending places of each term in each document. One shuffle, partial lists first."""
@@ -27,21 +78,35 @@ def first_letters(words: DataFrame) -> DataFrame:
     return words.groupBy(F.substring("term", 1, 1).alias("slot")).agg(F.min("term").alias("first_term"), F.count("*").alias("n_terms"))
 
 
-#: Ids in a block of chunked(): ranks are counted inside blocks and offset by the blocks before.
+#: Ids in a block of ranked(): ranks are counted inside blocks and offset by the blocks before.
 ID_BLOCK = 1 << 16
 
 
-def chunked(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
-    """docs with chunk: ids in order, size to a chunk.
+def ranked(rows: DataFrame, id_col: str, group: str | None = None, weight: Column | None = None) -> DataFrame:
+    """rows with __rank, the place in the order of whole-number ids (of each group), from 1, and with weight also __before,
+    the sum of it over the rows before.
 
-    Only the table of blocks, one row for ID_BLOCK ids, passes through a single partition.
+    Only the table of blocks, a row for ID_BLOCK ids that occur, is ordered as a whole; a block is one task's at a time.
     """
-    blocks = docs.withColumn("__b", F.floor(F.col(id_col) / ID_BLOCK))
-    sizes = blocks.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__b").orderBy(id_col))
-    ranked = blocks.withColumn("__r", nth).join(before, "__b")
-    return ranked.withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size).cast("int")).drop("__b", "__r", "__before")
+    keys = ["__b"] if group is None else [group, "__b"]
+    blocks = rows.withColumn("__b", F.floor(F.col(id_col) / ID_BLOCK)).withColumn("__w", F.lit(0).cast("long") if weight is None else weight.cast("long"))
+    sizes = blocks.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__w").alias("__s"))
+    over = Window.orderBy("__b") if group is None else Window.partitionBy(group).orderBy("__b")
+    before = sizes.select(*keys, (F.sum("__n").over(over) - F.col("__n")).alias("__first"), (F.sum("__s").over(over) - F.col("__s")).alias("__sum"))
+    inside = Window.partitionBy(*keys).orderBy(id_col)
+    nth = blocks.withColumns({"__rank": F.row_number().over(inside), "__before": F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w")})
+    out = nth.join(before, keys).withColumns({"__rank": F.col("__rank") + F.col("__first"), "__before": F.col("__before") + F.col("__sum")})
+    return out.select(*rows.columns, "__rank", *([] if weight is None else ["__before"]))
+
+
+def chunked(docs: DataFrame, size: int = CHUNK_DOCS, id_col: str = "doc_id", weight: Column | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+    """docs with chunk: ids in order; the next chunk begins behind size documents or, with weight, where the running
+    sum of weights passes a multiple of limit."""
+    out = ranked(docs, id_col, weight=weight)
+    chunk = F.floor((F.col("__rank") - 1) / size)
+    if weight is not None:
+        chunk = chunk + F.floor(F.col("__before") / limit)
+    return out.withColumn("chunk", chunk.cast("int")).select(*docs.columns, "chunk")
 
 
 def rebuild(postings: DataFrame) -> DataFrame:
@@ -60,7 +125,8 @@ def length_histogram(words: DataFrame) -> DataFrame:
 def write(postings: DataFrame, path: str) -> None:
     """Postings in term order over and inside files, so that a term lookup skips files and row groups; never over
     an existing index. Ranges of (term, doc_id) split a frequent term's list over several files."""
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("errorifexists").parquet(path)
+    rows = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    rows.write.option("parquet.block.size", str(8 << 20)).option("parquet.page.row.count.limit", "2000").mode("errorifexists").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -69,3 +135,69 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup(postings: DataFrame, terms: list[str]) -> DataFrame:
     return postings.where(F.col("term").isin(terms))
+
+
+@dataclasses.dataclass
+class Index:
+    """A stored index: postings (term, doc_id, pos, tf, chunk), dictionary (term, n_docs, n_posts), documents
+    (doc_id, doc_len, chunk and what else was kept)."""
+
+    postings: DataFrame
+    dictionary: DataFrame
+    documents: DataFrame
+
+    def n_docs(self, terms: list[str]) -> list[int]:
+        """Documents that have each term: one filtered read of the dictionary, as many rows as terms."""
+        have = {r.term: r.n_docs for r in self.dictionary.where(F.col("term").isin(terms)).collect()}
+        return [have.get(t, 0) for t in terms]
+
+    def chunks(self) -> DataFrame:
+        """(chunk, n_docs, n_words, first_doc, last_doc) of the chunks there are."""
+        return self.documents.groupBy("chunk").agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_words"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+    def urls(self, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """ids with url; ids that the index doesn't have get NO_URL."""
+        known = self.documents.select(F.col("doc_id").alias(id_col), "url")
+        return ids.join(known, id_col, "left").withColumn("url", F.coalesce("url", F.lit(NO_URL)))
+
+    def heads(self, k: int = 3) -> DataFrame:
+        """The first k postings of each term: what a dump shows."""
+        nth = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
+        return self.postings.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
+def build(docs: DataFrame, path: str, words: Column | None = None, id_col: str = "doc_id", keep: tuple[str, ...] = (), chunk_docs: int = CHUNK_DOCS, chunk_bytes: int = CHUNK_BYTES) -> Index:
+    """Writes the index of docs to path, which must not exist, and opens it.
+
+    words: the column of word lists, by default those of text. keep: columns kept in the documents table (url, title).
+    Texts are tokenised once; postings are shuffled once, into term order; the dictionary is counted from what was written.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, (T.words_of(F.col("text")) if words is None else words).alias("words")).where("doc_id is not null")
+    own.write.mode("errorifexists").parquet(f"{path}/words")
+    held = spark.read.schema(own.schema).parquet(f"{path}/words")
+    lengths = held.select("doc_id", *keep, F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("doc_len"))
+    chunked(lengths, chunk_docs, weight=F.col("doc_len") * POST_BYTES, limit=chunk_bytes).write.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents")
+    of = documents.select("doc_id", "chunk").distinct()
+    write(postings_of(held, "doc_id", F.col("words")).join(of, "doc_id"), f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
+    counts = posts.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").cast("long").alias("n_posts"))
+    counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/dictionary")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/words")
+    fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(fs, True)
+    _log.info("index written to %s", path)
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "documents")))
+
+
+def discover(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the whole indexes under path, in name order: folders that have all three tables, each committed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = sorted(str(x.getPath()) for x in fs.listStatus(root) if x.isDirectory()) if fs.exists(root) else []
+    return [f for f in found if all(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f}/{t}/_SUCCESS")) for t in ("postings", "dictionary", "documents"))]

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data import tld_weights
+from ..functions import urls as U
 
 DYNAMIC_SHARE = 0.72
 WEIGHTS = {"proximity": 7, "times_seen": 8, "title": 15, "anchor": 8, "path": 12, "rarity_freq": 8, "phrase_bonus": 8, "early": 6, "host": 12, "slug": 10, "homepage": 10, "label": 10}
@@ -200,3 +201,25 @@ def total_score(words: list[str], freqs: list[int]) -> Column:
 def bm25(tf: Column, doc_len: Column, df: Column, n: Column, k1: float = 1.2, b: float = 0.75, mean: float = 500.0) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / mean))
+
+
+def enrich(found: DataFrame, registry: DataFrame) -> DataFrame:
+    """Candidates (url, ...) with their registry row: n_seen, seed_distance, domain_dist, anchor_freqs, and its title unless
+    they bring one. Those without a row, and those on gibberish hosts, go."""
+    own = registry.select(
+        F.lower("url").alias("__key"), F.col("num_encountered").alias("n_seen"), "seed_distance", "domain_dist", F.coalesce("anchor_freqs", F.create_map().cast("map<string,bigint>")).alias("anchor_freqs"),
+        *([] if "title" in found.columns else [F.coalesce("title", F.lit("")).alias("title")]),
+    )
+    return found.where(~U.gibberish(U.bare_host(F.col("url")))).join(own, F.lower("url") == F.col("__key")).drop("__key")
+
+
+def misses(found: DataFrame, registry: DataFrame) -> DataFrame:
+    """(total, misses): candidates, and those without a registry row."""
+    own = registry.select(F.lower("url").alias("__key"), F.lit(True).alias("__there"))
+    return found.join(own, F.lower("url") == F.col("__key"), "left").agg(F.count("*").alias("total"), F.count_if(F.col("__there").isNull()).alias("misses"))
+
+
+def score_of(urls: DataFrame, candidates: DataFrame, words: list[str], freqs: list[int], url_col: str = "url") -> DataFrame:
+    """urls with score: that of the one candidate with the URL, -1 where there is none."""
+    own = candidates.groupBy(F.col("url").alias("__url")).agg(F.max(total_score(words, freqs)).alias("score"))
+    return urls.join(own, F.col(url_col) == F.col("__url"), "left").withColumn("score", F.coalesce("score", F.lit(-1.0))).drop("__url")

@@ -35,16 +35,9 @@ def positions(matched: DataFrame, text: str) -> DataFrame:
 
 
 def all_of(postings: DataFrame, terms: list[str]) -> DataFrame:
-    """Inner joins on doc_id, one a term: (doc_id, pos_1, ...)."""
-    out = None
-    for i, t in enumerate(terms, 1):
-        one = postings.where(F.col("term") == t).select("doc_id", F.col("pos").alias(f"pos_{i}"))
-        out = one if out is None else out.join(one, "doc_id")
-    return out
-
-
-def any_of(postings: DataFrame, terms: list[str]) -> DataFrame:
-    return postings.where(F.col("term").isin(terms)).select("doc_id").distinct()
+    """(doc_id, pos_1, ...) of the documents that have all terms: one scan of their postings, one shuffle."""
+    found = postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "pos"))).alias("pos"))
+    return found.where(F.size("pos") == len(set(terms))).select("doc_id", *(F.col("pos")[t].alias(f"pos_{i}") for i, t in enumerate(terms, 1)))
 
 
 def without(postings: DataFrame, wanted: str, unwanted: str) -> DataFrame:
@@ -66,6 +59,8 @@ def phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def capped(matched: DataFrame, limit: int, chunk: str | None = None) -> DataFrame:
-    """The first limit matches by doc_id of each chunk."""
-    w = (Window.partitionBy(chunk) if chunk else Window.partitionBy(F.lit(0))).orderBy("doc_id")
+    """The first limit matches by doc_id of each chunk, or of all."""
+    if chunk is None:
+        return matched.orderBy("doc_id").limit(limit)
+    w = Window.partitionBy(chunk).orderBy("doc_id")
     return matched.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")

@@ -13,8 +13,15 @@ _LINE = re.compile(r"^\s*(user-agent|allow|disallow|crawl-delay|sitemap)\s*:\s*(
 
 
 def _decoded(value: str) -> str:
-    """%xx decoded, but for an escaped slash."""
-    return re.sub(r"%(?!2[fF])([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), value)
+    """%xx decoded as UTF-8, but for an escaped slash; bytes that aren't UTF-8 stay escaped."""
+    return re.sub(r"(?:%(?!2[fF])[0-9a-fA-F]{2})+", lambda m: _utf8(bytes.fromhex(m[0].replace("%", "")), m[0]), value)
+
+
+def _utf8(raw: bytes, escaped: str) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return escaped
 
 
 def parse(host: str, text: str, empty_disallow_blocks: bool = True) -> list[tuple]:
@@ -74,3 +81,10 @@ def decide(targets: DataFrame, rule: DataFrame, user_agent: str) -> DataFrame:
     order = F.struct("literal_bytes", "ends_dollar", (F.col("kind") == "allow").alias("allow"), (F.col("agent") != "*").alias("named"))
     best = hits.groupBy("url").agg(F.max(order).alias("best"))
     return targets.join(best, "url", "left").withColumn("allowed", F.coalesce("best.allow", F.lit(True))).drop("best")
+
+
+def site_settings(rule: DataFrame) -> DataFrame:
+    """(host, crawl_delay, sitemaps): the largest delay that any rule of a host gives, null if none, and its distinct sitemaps in order."""
+    delay = F.when(F.col("kind") == "crawl-delay", F.col("pattern").try_cast("double"))
+    site = F.when(F.col("kind") == "sitemap", F.col("pattern"))
+    return rule.groupBy("host").agg(F.max(delay).alias("crawl_delay"), F.sort_array(F.collect_set(site)).alias("sitemaps"))

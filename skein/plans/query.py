@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""\s*(?:([()|])|(-)|"([^"]*)(?:"|\Z)|([^\s()|"]+))""")
 #: Nodes of the shared-prefix tree of all branches above which a query is refused.
 MAX_NODES = 128
+#: Different branches that may be met on the way there.
+MOST_BRANCHES = 1 << 14
 
 
 class QueryParseError(ValueError):
@@ -109,19 +111,29 @@ def parse(text: str):
 
 
 def branches(n) -> list[tuple[Term, ...]]:
-    """Disjunctive normal form."""
+    """Disjunctive normal form; of branches with the same terms the first."""
     if isinstance(n, Term):
         return [(n,)]
+    parts = [branches(c) for c in n.children]
     if n.kind == "or":
-        return [b for c in n.children for b in branches(c)]
+        return _distinct(b for p in parts for b in p)
     out: list[tuple[Term, ...]] = [()]
-    for c in n.children:
-        out = [a + b for a in out for b in branches(c)]
-        if len(out) > MAX_NODES * 8:
-            raise QueryParseError("the query has too many branches")
+    for p in parts:
+        out = _distinct(tuple(dict.fromkeys(a + b)) for a in out for b in p)
     return out
 
 
+def _distinct(found: Iterable[tuple[Term, ...]]) -> list[tuple[Term, ...]]:
+    """Branches, one of each set of terms. The last ones of a query are nodes of its prefix tree each; so many that
+    no rest of a query could merge them to MAX_NODES are refused at once."""
+    seen: dict[frozenset[Term], tuple[Term, ...]] = {}
+    for b in found:
+        seen.setdefault(frozenset(b), b)
+        if len(seen) > MOST_BRANCHES:
+            raise QueryParseError("the query has too many branches")
+    return list(seen.values())
+
+
 def prefix_tree(n) -> list[tuple[Term, ...]]:
     """Distinct prefixes of all branches, each branch's terms ordered by how many branches have them."""
     found = branches(n)

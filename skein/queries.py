@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from .data import words
 from .functions import text as T
 from .functions import urls as U
 from .operators import html, index, rank, registry, retrieve, robots, topk
-from .sources.tables import seeds, table
+from .sources.tables import read_registry, seeds, shared_dir, table, write_registry
 from .streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +45,30 @@ def _tok(spark: SparkSession, d: str) -> DataFrame:
     return T.tokens(_docs(spark, d))
 
 
+#: Indexes written by this process: (application, what of, tables) to folder.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, kind: str) -> index.Index:
+    """The stored index of a folder's documents or pages, written to the shared folder when it is first asked for."""
+    key = (spark.sparkContext.applicationId, kind, d)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/skein-index-{kind}-{uuid.uuid4().hex}"
+        if kind == "documents":
+            index.build(_docs(spark, d), path, chunk_docs=300)
+        else:
+            p = _pages(spark, d).withColumn("title", html.title(c("html")))
+            index.build(p, path, T.words_of(html.plain_text(c("html"))), "page_id", ("url", "title"))
+        _BUILT[key] = path
+    return index.open_index(spark, _BUILT[key])
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    return _stored(spark, d, "documents")
+
+
 def _post(spark: SparkSession, d: str) -> DataFrame:
-    return index.invert(_tok(spark, d))
+    return _index(spark, d).postings
 
 
 # text
@@ -118,7 +141,7 @@ def url_decode(spark, d):
 
 @query("SELECT page_id, greatest(coalesce(try_cast(regexp_extract(url, '[?&]page=([0-9]{1,9})', 1) AS INT), 1), 1) AS page FROM pages")
 def page_number(spark, d):
-    return _pages(spark, d).select("page_id", T.page_number(F.replace("url", F.lit("page="), F.lit("p="))).alias("page"))
+    return _pages(spark, d).select("page_id", T.page_number(c("url"), "page").alias("page"))
 
 
 # pages
@@ -156,10 +179,6 @@ def embed_links(spark, d):
 PTOK = "WITH plain AS (SELECT page_id, " + S.PLAIN + " AS text FROM pages), " + S.tokens("plain", "page_id")
 
 
-def _ptok(spark, d):
-    return T.tokens(_pages(spark, d).select("page_id", html.plain_text(c("html")).alias("text")), "page_id")
-
-
 @query(PTOK + f", t AS (SELECT page_id, len({S.word_list(S.TITLE)})::BIGINT AS title_words FROM pages), b AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) SELECT page_id, title_words, coalesce(n, 0)::BIGINT AS body_words FROM t LEFT JOIN b ON page_id = doc_id")
 def doc_lengths(spark, d):
     body = T.words_of(html.plain_text(c("html")))
@@ -231,12 +250,15 @@ def url_shard(spark, d):
 
 @query(TOKP + " SELECT term, doc_id, array_to_string(pos, ' ') AS pos, tf FROM post")
 def inverted_index(spark, d):
-    return _post(spark, d).select("term", "doc_id", F.array_join(F.transform("pos", lambda x: x.cast("string")), " ").alias("pos"), c("tf").cast("long").alias("tf"))
+    """The inversion itself, from texts: a document's words lie in one row, so nothing is shuffled."""
+    post = index.postings_of(_docs(spark, d), "doc_id", T.words_of(c("text")))
+    return post.select("term", "doc_id", F.array_join(F.transform("pos", lambda x: x.cast("string")), " ").alias("pos"), c("tf").cast("long").alias("tf"))
 
 
 @query(TOK + " SELECT term, count(DISTINCT doc_id)::BIGINT AS n_docs FROM tok GROUP BY term")
 def term_df(spark, d):
-    return index.term_statistics(_tok(spark, d)).select("term", "n_docs")
+    """Document frequencies from texts: one shuffle of counts."""
+    return _docs(spark, d).select(F.explode(F.array_distinct(T.words_of(c("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
 @query(TOK + " SELECT term, count(*)::BIGINT AS n_posts FROM tok GROUP BY term")
@@ -246,29 +268,29 @@ def term_cf(spark, d):
 
 @query(TOK + " SELECT count(*)::BIGINT AS total FROM tok")
 def corpus_total(spark, d):
-    return _tok(spark, d).agg(F.count("*").alias("total"))
+    return _index(spark, d).documents.agg(F.sum("doc_len").alias("total"))
 
 
 @query(TOK + " SELECT term, round(count(*) / (SELECT count(*) FROM tok)::DOUBLE, 9) AS share FROM tok GROUP BY term")
 def term_rel_freq(spark, d):
-    n = _tok(spark, d).groupBy("term").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("term", F.round(c("n") / c("total").cast("double"), 9).alias("share"))
+    own = _index(spark, d)
+    total = own.documents.agg(F.sum("doc_len").alias("total"))
+    return own.dictionary.crossJoin(F.broadcast(total)).select("term", F.round(c("n_posts") / c("total").cast("double"), 9).alias("share"))
 
 
 @query(TOK + " SELECT term, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_posts FROM tok WHERE regexp_matches(term, '^[a-z0-9]') GROUP BY term")
 def dict_filter(spark, d):
-    return index.dictionary(_tok(spark, d))
+    return _index(spark, d).dictionary.where(c("term").rlike("^[a-z0-9]")).select("term", "n_docs", "n_posts")
 
 
 @query(TOK + " SELECT DISTINCT term FROM tok ORDER BY term")
 def dict_sorted(spark, d):
-    return _tok(spark, d).select("term").distinct().orderBy("term")
+    return _index(spark, d).dictionary.select("term").orderBy("term")
 
 
 @query(TOK + " SELECT left(term, 1) AS slot, min(term) AS first_term, count(DISTINCT term)::BIGINT AS n_terms FROM tok GROUP BY 1")
 def dict_toc(spark, d):
-    return index.first_letters(_tok(spark, d).select("term").distinct())
+    return index.first_letters(_index(spark, d).dictionary.select("term"))
 
 
 @query("SELECT page_id, row_number() OVER (ORDER BY page_id)::BIGINT AS doc, url FROM pages")
@@ -277,6 +299,50 @@ def doc_table(spark, d):
     return one.select("page_id", (c("chunk") + 1).cast("long").alias("doc"), "url")
 
 
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+    SELECT doc_id, (floor((n - 1) / 100) + floor(before / 200000))::INT AS chunk FROM r""")
+def chunk_cut(spark, d):
+    """Chunks that end at a number of documents or of bytes, small ones here so that both act."""
+    return index.chunked(_docs(spark, d).select("doc_id", "n_chars"), 100, weight=c("n_chars"), limit=200_000).select("doc_id", "chunk")
+
+
+@query("SELECT doc_id, coalesce(url, '<invalid-doc>') AS url FROM documents LEFT JOIN pages ON doc_id = page_id")
+def doc_url_lookup(spark, d):
+    """URLs of documents by id in the index of pages; ids that it doesn't have get the sentinel."""
+    return _stored(spark, d, "pages").urls(_docs(spark, d).select("doc_id"))
+
+
+@query(TOK + ", g AS (SELECT term, doc_id FROM tok GROUP BY ALL) SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id)::INT AS nth FROM g QUALIFY nth <= 3")
+def index_heads(spark, d):
+    return _index(spark, d).heads(3).select("term", "doc_id", "nth")
+
+
+@query(TOK + ", r AS (SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 300)::INT AS chunk FROM documents), l AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) SELECT chunk, count(*)::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_words, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM r LEFT JOIN l USING (doc_id) GROUP BY chunk")
+def index_chunks(spark, d):
+    return _index(spark, d).chunks()
+
+
+@query("WITH b AS (SELECT item_id, " + S.word_list("text") + " AS ws FROM benchmark), " + S.tokens() + """, f AS (SELECT term, count(DISTINCT doc_id) AS n FROM tok GROUP BY term),
+    u AS (SELECT DISTINCT item_id, unnest(ws) AS w FROM b) SELECT item_id, array_to_string(list(w ORDER BY coalesce(n, 0), w), ' ') AS words FROM u LEFT JOIN f ON term = w GROUP BY item_id""")
+def rarity_sorted(spark, d):
+    """The words of each benchmark item, rarest in the documents first."""
+    own = table(spark, d, "benchmark").select("item_id", T.words_of(c("text")).alias("words"))
+    used = own.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(_index(spark, d).dictionary.select("term", "n_docs"), "term", "left")
+    counts = used.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("n_docs", F.lit(0)).cast("long")))).alias("n"))
+    return own.join(counts, "item_id").select("item_id", F.array_join(T.rarest_first(c("words"), c("n")), " ").alias("words"))
+
+
+@query("SELECT doc_id, array_to_string(list_reverse(" + S.word_list("text") + "), ' ') AS words FROM documents")
+def reversed_words(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(F.reverse(T.words_of(c("text"))), " ").alias("words"))
+
+
+@query(TOKP + ", p AS (SELECT doc_id, pos FROM post WHERE term = 'the') SELECT doc_id, coalesce(list_position(pos, 9), 0)::INT - 1 AS place FROM p")
+def place_in_list(spark, d):
+    """Where the ninth word stands among the places of a term, -1 if it isn't that term."""
+    return index.lookup(_post(spark, d), ["the"]).select("doc_id", T.place_in_sorted(c("pos"), F.lit(9)).alias("place"))
+
+
 @query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 300)::INT AS chunk FROM documents")
 def chunk_assign(spark, d):
     return index.chunked(_docs(spark, d).select("doc_id"), 300).select("doc_id", "chunk")
@@ -294,7 +360,7 @@ def index_roundtrip(spark, d):
 
 @query(TOK + ", n AS (SELECT term, count(*) AS n FROM tok GROUP BY term) SELECT floor(log10(n + 0.5))::INT AS decade, count(*)::BIGINT AS n_terms, sum(n)::BIGINT AS n_posts, round(avg(n), 4) AS mean_posts FROM n GROUP BY 1")
 def posting_histogram(spark, d):
-    return index.length_histogram(_tok(spark, d).groupBy("term").agg(F.count("*").alias("n_posts")))
+    return index.length_histogram(_index(spark, d).dictionary)
 
 
 # retrieval
@@ -359,10 +425,11 @@ def match_positions(spark, d):
     return found.select("doc_id", text(c("places")[0]).alias("p1"), text(c("places")[1]).alias("p2"))
 
 
-@query(TOK + ", m AS (SELECT doc_id, floor(doc_id / 300)::BIGINT AS chunk FROM tok WHERE term = 'the' GROUP BY doc_id) SELECT chunk, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id) <= 100")
+@query(TOK + ", r AS (SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 300)::INT AS chunk FROM documents), m AS (SELECT DISTINCT chunk, doc_id FROM tok JOIN r USING (doc_id) WHERE term = 'the') SELECT chunk, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id) <= 100")
 def match_cap(spark, d):
     """The cap of matches before ranking (2000 a chunk by default; 100 here so that it acts on small tables)."""
-    m = retrieve.match(_post(spark, d), "the").select("doc_id", F.floor(c("doc_id") / 300).alias("chunk"))
+    own = _index(spark, d)
+    m = retrieve.match(own.postings, "the").select("doc_id").join(own.documents.select("doc_id", "chunk"), "doc_id")
     return retrieve.capped(m, 100, "chunk").select("chunk", "doc_id")
 
 
@@ -370,8 +437,8 @@ def match_cap(spark, d):
 
 WORDS = ["the", "of"]
 _CAND = PTOK + ", " + S.POSTINGS + rf""",
-    a0 AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>[^<]*</a>', 0)) AS a FROM pages),
-    a1 AS (SELECT page_id, regexp_extract(a, '(?is)>([^<]*)</a>$', 1) AS t FROM a0),
+    a0 AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="[^"]+"[^>]*>.*?</a>', 0)) AS a FROM pages),
+    a1 AS (SELECT page_id, regexp_replace(a, '<[^>]*>', ' ', 'g') AS t FROM a0),
     a2 AS (SELECT page_id, unnest({S.word_list('t')}) AS word FROM a1),
     a3 AS (SELECT page_id, count(*)::DOUBLE AS total, count(DISTINCT word)::DOUBLE AS kinds FROM a2 GROUP BY page_id),
     n AS (SELECT doc_id, count(*) AS doc_len FROM tok GROUP BY doc_id),
@@ -383,7 +450,8 @@ _CAND = PTOK + ", " + S.POSTINGS + rf""",
         coalesce(total, 0) AS total, coalesce(kinds, 0) AS kinds, p1.pos AS A, p2.pos AS B, w.*,
         lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*(.*)$', 1)) AS tail,
         lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]*)', 1)) AS slug
-        FROM pages p JOIN seen ON seen.page_id = p.page_id JOIN n ON n.doc_id = p.page_id JOIN post p1 ON p1.doc_id = p.page_id AND p1.term = 'the' JOIN post p2 ON p2.doc_id = p.page_id AND p2.term = 'of' LEFT JOIN a3 ON a3.page_id = p.page_id CROSS JOIN w)"""
+        FROM pages p JOIN seen ON seen.page_id = p.page_id JOIN n ON n.doc_id = p.page_id JOIN post p1 ON p1.doc_id = p.page_id AND p1.term = 'the' JOIN post p2 ON p2.doc_id = p.page_id AND p2.term = 'of' LEFT JOIN a3 ON a3.page_id = p.page_id CROSS JOIN w
+        WHERE NOT regexp_matches({S.BARE_HOST.replace('(url)', '(p.url)')}, '[^aeiouy.]{{10}}'))"""
 
 
 def _hit(x: str, y: str) -> str:
@@ -418,29 +486,43 @@ TOTAL_SQL = f"({STATIC_SQL}) * 0.28::DOUBLE + ({DYNAMIC_SQL}) * 0.72::DOUBLE"
 
 
 def _registry(spark, d) -> DataFrame:
-    """Registry rows of the pages themselves; their own links' words stand in for anchors."""
+    """Registry rows of the crawled pages. Pages of these tables don't link to each other: the words of their own links
+    stand in for anchors, pages of their domain for encounters."""
     p = _pages(spark, d)
-    anchors = html.anchor_words(p).groupBy("page_id", "word").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("anchor_freqs"))
     url = c("url")
+    anchors = html.anchor_words(p).groupBy("page_id", "word").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("anchor_freqs"))
+    seen = p.groupBy(U.domain(url).alias("domain")).agg(F.count("*").alias("num_encountered"))
     rows = p.select(
-        "page_id", "url", html.title(c("html")).alias("title"), F.count("*").over(Window.partitionBy(U.domain(url))).alias("n_seen"),
+        "page_id", "url", U.domain(url).alias("domain"), html.title(c("html")).alias("title"), F.lit(True).alias("crawled"),
         (F.length(url) - F.length(F.replace(url, F.lit("/"), F.lit(""))) - 2).alias("seed_distance"), F.when(url.startswith("https"), 0).otherwise(1).alias("domain_dist"),
     )
-    return rows.join(anchors, "page_id", "left").withColumn("anchor_freqs", F.coalesce("anchor_freqs", F.create_map().cast("map<string,bigint>")))
+    return registry.as_store(rows.join(seen, "domain").join(anchors, "page_id", "left"))
+
 
+def _stored_registry(spark, d) -> DataFrame:
+    """_registry as the crawler keeps it: written once, and read by queries."""
+    key = (spark.sparkContext.applicationId, "registry", d)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/skein-registry-{uuid.uuid4().hex}"
+        write_registry(_registry(spark, d), path)
+        _BUILT[key] = path
+    return read_registry(spark, _BUILT[key])
 
-def _ranked(spark, d, text: str = "the of") -> tuple[DataFrame, list[str], list[int]]:
-    """Candidates of a query over pages, its words, and their document frequencies."""
+
+def _ranked(spark, d, text: str = "the of", store: DataFrame | None = None, cap: int | None = None) -> tuple[DataFrame, list[str], list[int]]:
+    """Candidates of a query over pages, its words, and their document frequencies, from the stored index and a registry.
+
+    cap: matches of a chunk that are ranked, all by default.
+    """
     from .plans import query as Q
 
-    tok = _ptok(spark, d)
-    post = index.invert(tok)
+    own = _stored(spark, d, "pages")
     ws = Q.positive_words(Q.parse(text))
-    have = {r.term: r.n for r in index.lookup(post, ws).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    found = retrieve.positions(retrieve.match(post, text), text)
-    lengths = tok.groupBy("doc_id").agg(F.count("*").alias("doc_len"))
-    rows = found.join(lengths, "doc_id").withColumnRenamed("doc_id", "page_id").join(_registry(spark, d), "page_id")
-    return rows, ws, [have.get(w, 0) for w in ws]
+    found = retrieve.positions(retrieve.match(own.postings, text), text).join(own.documents, "doc_id")
+    if cap is not None:
+        found = retrieve.capped(found, cap, "chunk")
+    rows = rank.enrich(found.withColumnRenamed("doc_id", "page_id"), _stored_registry(spark, d) if store is None else store)
+    return rows, ws, own.n_docs(ws)
 
 
 def _score(name: str, key: str):
@@ -477,31 +559,43 @@ def score_total(spark, d):
 @query(TOKP + """, n AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM post WHERE term IN ('the', 'of') GROUP BY term), t AS (SELECT count(*) AS nd FROM n)
     SELECT doc_id, round(sum(ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 500.0))), 6) AS score FROM post JOIN df USING (term) JOIN n USING (doc_id) CROSS JOIN t GROUP BY doc_id""")
 def score_bm25(spark, d):
-    tok = _tok(spark, d)
-    lengths = tok.groupBy("doc_id").agg(F.count("*").alias("dl"))
-    hits = index.lookup(index.invert(tok), WORDS).select("term", "doc_id", c("tf").cast("double").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    own = _index(spark, d)
+    lengths = own.documents.where("doc_len > 0").select("doc_id", c("doc_len").alias("dl"))
+    hits = index.lookup(own.postings, WORDS).select("term", "doc_id", c("tf").cast("double").alias("tf"))
+    df = index.lookup(own.dictionary, WORDS).select("term", c("n_docs").alias("df"))
     total = lengths.agg(F.count("*").alias("nd"))
     rows = hits.join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))
     return rows.groupBy("doc_id").agg(F.round(F.sum(rank.bm25(c("tf"), c("dl"), c("df"), c("nd"))), 6).alias("score"))
 
 
-_LINKED = f"WITH {S.LINKS}, store AS (SELECT lower(url) AS url, count(*)::BIGINT AS n FROM links GROUP BY 1)"
+_SLASHES = "(length(url) - length(replace(url, '/', '')) - 2)"
+_HTTP = "(CASE WHEN starts_with(url, 'https') THEN 0 ELSE 1 END)"
+#: The registry after the links of all pages came to one that holds the pages.
+_STORE = rf"""WITH {S.LINKS}, upd AS (SELECT lower(url) AS url, page_id, 1 + page_id % 3 AS sd, ({S.DOMAIN.replace('(url,', '(src_url,')} <> {S.DOMAIN})::INT AS dd FROM links),
+    base AS (SELECT url, count(*)::BIGINT AS n, min(sd)::INT AS sd, min(dd)::INT AS dd FROM upd GROUP BY url),
+    old AS (SELECT lower(url) AS url, {S.TITLE} AS title, (count(*) OVER (PARTITION BY {S.DOMAIN}))::BIGINT AS n, {_SLASHES}::INT AS sd, {_HTTP} AS dd FROM pages),
+    store AS (SELECT coalesce(old.url, base.url) AS url, title, (coalesce(old.n, 0) + coalesce(base.n, 0))::BIGINT AS num_encountered, least(old.sd, base.sd)::INT AS seed_distance,
+        least(old.dd, base.dd)::INT AS domain_dist, old.url IS NOT NULL AS crawled, old.url IS NULL AS is_new FROM old FULL JOIN base ON old.url = base.url)"""
+_KEPT = f"(NOT is_new OR ({S.bucket(S.priority('url', 'seed_distance', 'domain_dist'))} < 8 AND NOT regexp_matches(url, '{S.alternation(words('blocked_keywords'))}')))"
 
 
-@query(f"{_LINKED} SELECT p.page_id, n FROM pages p JOIN store s ON s.url = lower(p.url) WHERE NOT regexp_matches({S.BARE_HOST.replace('url', 'p.url')}, '[^aeiouy.]{{10}}')")
+@query(f"{_STORE} SELECT p.page_id, num_encountered AS n_seen, seed_distance, domain_dist FROM pages p JOIN store s ON s.url = lower(p.url) WHERE NOT regexp_matches({S.BARE_HOST.replace('(url)', '(p.url)')}, '[^aeiouy.]{{10}}')")
 def enrich_candidates(spark, d):
     """Candidates with their registry row; those without one, and those on gibberish hosts, go."""
-    p = _pages(spark, d)
-    store = html.links(p).groupBy(F.lower("url").alias("key")).agg(F.count("*").alias("n"))
-    return p.where(~U.gibberish(U.bare_host(c("url")))).select("page_id", F.lower("url").alias("key")).join(store, "key").select("page_id", "n")
+    return rank.enrich(_pages(spark, d).select("page_id", "url"), registry.upsert(_updates(spark, d), _registry(spark, d))).select("page_id", "n_seen", "seed_distance", "domain_dist")
 
 
-@query(f"{_LINKED} SELECT count(*)::BIGINT AS total, count(*) FILTER (s.url IS NULL)::BIGINT AS misses FROM pages p LEFT JOIN store s ON s.url = lower(p.url)")
+@query(f"{_STORE} SELECT count(*)::BIGINT AS total, count(*) FILTER (s.url IS NULL)::BIGINT AS misses FROM links l LEFT JOIN store s ON s.url = lower(l.url) AND NOT s.is_new")
 def registry_miss_rate(spark, d):
-    p = _pages(spark, d)
-    store = html.links(p).select(F.lower("url").alias("key")).distinct().withColumn("there", F.lit(1))
-    return p.select(F.lower("url").alias("key")).join(store, "key", "left").agg(F.count("*").alias("total"), F.count_if(c("there").isNull()).alias("misses"))
+    """How many links lead to URLs that aren't in the registry of crawled pages."""
+    return rank.misses(html.links(_pages(spark, d)).select("url"), _registry(spark, d))
+
+
+@query(f"{_CAND}, one AS (SELECT page_id, {TOTAL_SQL} AS s FROM cand) SELECT page_id, round(coalesce(s, -1), 6) AS score FROM pages LEFT JOIN one USING (page_id)")
+def score_single(spark, d):
+    """The score of each page by itself, -1 where it isn't a candidate."""
+    rows, ws, fs = _ranked(spark, d)
+    return rank.score_of(_pages(spark, d).select("page_id", "url"), rows, ws, fs).select("page_id", F.round("score", 6).alias("score"))
 
 
 # top k
@@ -526,8 +620,7 @@ def topk_global(spark, d):
 
 @query(f"{_SCORED} SELECT url, score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY score DESC, url) <= 10) ORDER BY score DESC, url LIMIT 10")
 def merge_topk(spark, d):
-    best = topk.top_per(_scored(spark, d), "chunk").select("url", "score", "chunk")
-    return topk.merge([best.where(c("chunk") == i).drop("chunk") for i in range(4)])
+    return topk.top(topk.top_per(_scored(spark, d), "chunk").select("url", "score"))
 
 
 @query(f"{_SCORED} SELECT url, score FROM s ORDER BY score DESC, url LIMIT 10 OFFSET 10")
@@ -570,8 +663,8 @@ def registry_insert_filter(spark, d):
     return registry.insertable(registry.upsert(_updates(spark, d))).select("url")
 
 
-@query(rf"""WITH a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>[^<]*</a>', 0)) AS a FROM pages),
-    a1 AS (SELECT page_id, url AS src, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href, regexp_extract(a, '(?is)>([^<]*)</a>$', 1) AS t FROM a0),
+@query(rf"""WITH a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="[^"]+"[^>]*>.*?</a>', 0)) AS a FROM pages),
+    a1 AS (SELECT page_id, url AS src, regexp_extract(a, '(?is)href="([^"]+)"', 1) AS href, regexp_replace(a, '<[^>]*>', ' ', 'g') AS t FROM a0),
     a2 AS (SELECT page_id, href, lower(CASE WHEN starts_with(href, '/') THEN regexp_extract(src, '^[^:]+://[^/]*', 0) || href ELSE href END) AS url, unnest({S.word_list('t')}) AS word FROM a1)
     , l AS (SELECT page_id, href, count(*) AS k FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"', 1)) AS href FROM pages) GROUP BY 1, 2)
     SELECT url, word, sum(k)::BIGINT AS n FROM a2 JOIN l USING (page_id, href) GROUP BY url, word QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, word) <= 64""")
@@ -579,19 +672,30 @@ def anchor_freqs(spark, d):
     return registry.upsert(_updates(spark, d)).select("url", F.explode("anchor_freqs").alias("word", "n"))
 
 
-@query(f"{_UPD} SELECT p.page_id, b.num_encountered IS NOT NULL AS known, coalesce(b.num_encountered, 0)::BIGINT AS num_encountered, coalesce(b.seed_distance, 65535)::INT AS seed_distance FROM pages p LEFT JOIN base b ON b.url = lower(p.url)")
+@query(f"{_STORE} SELECT url, title, num_encountered, seed_distance, domain_dist, crawled, is_new FROM store WHERE {_KEPT}")
+def registry_upsert_store(spark, d):
+    """The links of all pages come to a registry of the pages: what it has of them stays, new URLs are filtered."""
+    return registry.upsert(_updates(spark, d), _registry(spark, d), insert_filter=True).select("url", "title", "num_encountered", "seed_distance", "domain_dist", "crawled", "is_new")
+
+
+@query(f"{_STORE}, asked AS (SELECT page_id, url AS asked_url FROM pages UNION ALL SELECT page_id, url FROM links UNION ALL SELECT page_id, url || '?none' FROM pages) SELECT page_id, asked_url, s.url IS NOT NULL AS has_url, coalesce(crawled, FALSE) AS has_crawled, coalesce(num_encountered, 0)::BIGINT AS num_encountered, coalesce(seed_distance, 65535)::INT AS seed_distance, domain_dist, coalesce(title, '') AS title FROM asked LEFT JOIN store s ON s.url = lower(asked_url)")
 def registry_lookup(spark, d):
-    """Point lookups of all pages: known, encounters, distance (65535 where unknown)."""
-    store = registry.upsert(_updates(spark, d)).withColumnRenamed("url", "key")
-    got = _pages(spark, d).select("page_id", F.lower("url").alias("key")).join(store, "key", "left")
-    return got.select("page_id", c("num_encountered").isNotNull().alias("known"), F.coalesce("num_encountered", F.lit(0).cast("long")).alias("num_encountered"), F.coalesce("seed_distance", F.lit(65535)).alias("seed_distance"))
+    """Point lookups of pages, of what they link to and of URLs that nobody knows (distance 65535)."""
+    p = _pages(spark, d)
+    asked = p.select("page_id", "url").unionByName(html.links(p).select("page_id", "url")).unionByName(p.select("page_id", F.concat("url", F.lit("?none")).alias("url"))).withColumnRenamed("url", "asked_url")
+    return registry.lookup(asked, registry.upsert(_updates(spark, d), _registry(spark, d)), "asked_url").drop("anchor_freqs")
+
+
+@query(f"{_STORE} SELECT 0 AS shard, count(*)::BIGINT AS n_urls, count(*) FILTER (crawled)::BIGINT AS n_crawled, sum(strlen(url))::BIGINT AS url_bytes, sum(strlen(coalesce(title, '')))::BIGINT AS title_bytes FROM store")
+def registry_sizes(spark, d):
+    return registry.size_statistics(registry.upsert(_updates(spark, d), _registry(spark, d))).drop("n_anchors")
 
 
-@query(f"{_UPD}, t AS (SELECT url, max(page_id)::BIGINT AS crawl FROM upd WHERE page_id % 2 = 0 GROUP BY url) SELECT url, num_encountered, coalesce(crawl, -1)::BIGINT AS crawl FROM base LEFT JOIN t USING (url)")
+@query(f"{_UPD}, t AS (SELECT url, max(page_id)::BIGINT AS crawl FROM upd GROUP BY url) SELECT url, num_encountered, coalesce(crawl, -1)::BIGINT AS crawl FROM base LEFT JOIN t USING (url)")
 def registry_update(spark, d):
-    """Point updates: the last even page that links to each URL is set as its crawl mark."""
+    """Point updates: the last page that links to each URL is set as its crawl mark."""
     store = registry.upsert(_updates(spark, d)).select("url", "num_encountered", F.lit(-1).cast("long").alias("crawl"))
-    changes = html.links(_pages(spark, d)).where(c("page_id") % 2 == 0).groupBy(F.lower("url").alias("url")).agg(F.max("page_id").alias("crawl"))
+    changes = html.links(_pages(spark, d)).groupBy(F.lower("url").alias("url")).agg(F.max("page_id").alias("crawl"))
     return registry.update_fields(store, changes, ["crawl"])
 
 
@@ -600,16 +704,19 @@ def url_counts(spark, d):
     return html.links(_pages(spark, d)).agg(F.count_distinct(F.lower("url")).alias("distinct_urls"), F.count("*").alias("seen_urls"))
 
 
-@query(f"{_UPD}, known AS (SELECT DISTINCT lower(url) AS url FROM links WHERE page_id % 2 = 0), f AS (SELECT *, {S.bucket(S.priority('url', 'seed_distance', 'domain_dist'))} AS bucket FROM base) SELECT url, bucket FROM f WHERE bucket < 8 AND NOT regexp_matches(url, '{S.alternation(words('blocked_keywords'))}') AND url NOT IN (SELECT url FROM known)")
+@query(f"{_UPD}, known AS (SELECT url FROM upd GROUP BY url HAVING count(*) > 1), f AS (SELECT *, {S.bucket(S.priority('url', 'seed_distance', 'domain_dist'))} AS bucket FROM base) SELECT url, bucket FROM f WHERE bucket < 8 AND NOT regexp_matches(url, '{S.alternation(words('blocked_keywords'))}') AND url NOT IN (SELECT url FROM known)")
 def new_urls(spark, d):
-    """URLs that all pages' links bring to a registry which knows those of even pages."""
-    store = html.links(_pages(spark, d)).where(c("page_id") % 2 == 0).select(F.lower("url").alias("url")).distinct()
+    """URLs that all pages' links bring to a registry which knows those that are linked to more than once."""
+    store = html.links(_pages(spark, d)).groupBy(F.lower("url").alias("url")).agg(F.count("*").alias("n")).where("n > 1")
     return registry.unseen(_updates(spark, d), store).select("url", "bucket")
 
 
-@query(f"WITH {S.LINKS} SELECT page_id, url, 1 AS seed_hops, ({S.DOMAIN.replace('(url,', '(src_url,')} <> {S.DOMAIN})::INT AS domain_hops FROM links")
+@query(f"WITH {S.LINKS} SELECT page_id, url, (length(src_url) - length(replace(src_url, '/', '')) - 1)::INT AS seed_hops, ((CASE WHEN starts_with(src_url, 'https') THEN 0 ELSE 1 END) + ({S.DOMAIN.replace('(url,', '(src_url,')} <> {S.DOMAIN})::INT)::INT AS domain_hops FROM links")
 def link_hops(spark, d):
-    return registry.with_hops(html.links(_pages(spark, d))).select("page_id", "url", "seed_hops", "domain_hops")
+    """Links of pages that are as far from a seed as their path is deep, and one domain away if they aren't https."""
+    src = c("src_url")
+    found = html.links(_pages(spark, d)).withColumns({"far": F.length(src) - F.length(F.replace(src, F.lit("/"), F.lit(""))) - 2, "away": F.when(src.startswith("https"), 0).otherwise(1)})
+    return registry.with_hops(found, "far", "away").select("page_id", "url", "seed_hops", "domain_hops")
 
 
 _FRONT = f"WITH f AS (SELECT page_id, url, {S.DOMAIN} AS domain, {S.bucket(S.priority('url', 'page_id % 60', 'page_id % 30'))} AS bucket FROM pages)"
@@ -623,8 +730,28 @@ def _frontier(spark, d) -> DataFrame:
 @query(f"{_FRONT} SELECT url, bucket, row_number() OVER (PARTITION BY bucket ORDER BY page_id DESC)::INT AS place FROM f WHERE bucket < 8")
 def frontier_order(spark, d):
     """Pop order: best bucket first, inside one the last that came."""
-    w = Window.partitionBy("bucket").orderBy(F.desc("page_id"))
-    return _frontier(spark, d).where("bucket < 8").select("url", "bucket", F.row_number().over(w).alias("place"))
+    return registry.pop_order(_frontier(spark, d).where("bucket < 8"), "page_id").select("url", "bucket", "place")
+
+
+@query(f"""{_FRONT}, b0 AS (SELECT *, row_number() OVER (ORDER BY page_id) AS r FROM f WHERE bucket = 0)"""
+    + "".join(f", b{b} AS (SELECT *, row_number() OVER (ORDER BY page_id) AS r FROM (SELECT page_id, url, domain, {b} AS bucket FROM f WHERE bucket = {b} UNION ALL SELECT page_id, url, domain, {b} FROM b{b - 1} WHERE r > 20))" for b in range(1, 8))
+    + "".join(f"{' UNION ALL' if b else ''} SELECT page_id, url, bucket FROM b{b} WHERE r <= 20" for b in range(8))
+    + " UNION ALL SELECT page_id, url, 8 FROM b7 WHERE r > 20 UNION ALL SELECT page_id, url, bucket FROM f WHERE bucket = 8")
+def frontier_spill(spark, d):
+    """Buckets of 20 slots (2 ** 24 by default): targets that find theirs full go to the next."""
+    return registry.spilled(_frontier(spark, d), "page_id", 20).select("page_id", "url", "bucket")
+
+
+@query(f"{_FRONT}, b AS (SELECT * FROM f WHERE bucket = (SELECT min(bucket) FROM f)) SELECT url, bucket, CASE WHEN row_number() OVER (PARTITION BY domain ORDER BY url) <= 2 THEN 'carousel' ELSE 'backoff' END AS goes_to FROM b")
+def feed_overflow(spark, d):
+    """The best bucket's targets: two a domain go on, the rest to the backoff queue."""
+    return registry.feed(_frontier(spark, d), 2).select("url", "bucket", "goes_to")
+
+
+@query("SELECT page_id FROM pages ORDER BY page_id LIMIT 40")
+def document_quota(spark, d):
+    """Where a crawl with a quota of 40 pages stops (2 ** 20 by default)."""
+    return registry.within_quota(_pages(spark, d).select("page_id"), "page_id", 40)
 
 
 @query(f"{_FRONT} SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY bucket, url)::INT AS slot FROM f QUALIFY slot <= 32")
@@ -649,7 +776,7 @@ def seed_frontier(spark, d):
 
 # robots, crawl loop, metrics
 
-ROBOTS = "User-agent: *\nDisallow: /fr/\nDisallow: /*?page=\nAllow: /fr/1*\nCrawl-delay: 2\n\nUser-agent: skein\nUser-agent: other\nAllow: /de/*5$\nDisallow: /de/\n"
+ROBOTS = "User-agent: *\nDisallow: /fr/\nDisallow: /*?page=\nAllow: /fr/1*\nCrawl-delay: 2\nSitemap: https://a.example/b.xml\n\nUser-agent: skein\nUser-agent: other\nAllow: /de/*5$\nDisallow: /de/\n"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1)"
 _ALLOWED = f"""CASE WHEN regexp_matches({_PATH}, '^de/.*5$') THEN TRUE WHEN regexp_matches({_PATH}, '^.*\\?page=') AND NOT regexp_matches({_PATH}, '^fr/1') AND NOT regexp_matches({_PATH}, '^de/') THEN FALSE
     WHEN regexp_matches({_PATH}, '^.*\\?page=') THEN FALSE WHEN regexp_matches({_PATH}, '^fr/1') THEN TRUE WHEN regexp_matches({_PATH}, '^(fr|de)/') THEN FALSE ELSE TRUE END"""
@@ -657,8 +784,19 @@ _ALLOWED = f"""CASE WHEN regexp_matches({_PATH}, '^de/.*5$') THEN TRUE WHEN rege
 
 def _allowed(spark, d) -> DataFrame:
     p = _pages(spark, d).select("page_id", "url", *(U.parts(c("url"))[k].alias(k) for k in ("host", "path")))
-    files = p.select("host").distinct().withColumn("body", F.lit(ROBOTS))
-    return robots.decide(p, robots.rules(files), "skein/1.0")
+    return robots.decide(p, robots.rules(_robot_files(p)), "skein/1.0")
+
+
+def _robot_files(p: DataFrame) -> DataFrame:
+    """One file a host; those of hosts whose name ends in g ask for a longer delay and list a second site map."""
+    more = F.when(c("host").endswith("g"), "Crawl-delay: 7.5\nSitemap: https://a.example/a.xml\n").otherwise("")
+    return p.select("host").distinct().withColumn("body", F.concat(F.lit(ROBOTS), more))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host, CASE WHEN ends_with(host, 'g') THEN 7.5 ELSE 2.0 END::DOUBLE AS crawl_delay, CASE WHEN ends_with(host, 'g') THEN 'https://a.example/a.xml https://a.example/b.xml' ELSE 'https://a.example/b.xml' END AS sitemaps FROM pages")
+def robots_settings(spark, d):
+    p = _pages(spark, d).select(U.parts(c("url"))["host"].alias("host"))
+    return robots.site_settings(robots.rules(_robot_files(p))).select("host", "crawl_delay", F.array_join("sitemaps", " ").alias("sitemaps"))
 
 
 @query(f"SELECT page_id, {_ALLOWED} AS allowed FROM pages")
@@ -671,12 +809,13 @@ def polite_schedule(spark, d):
     return registry.polite(_frontier(spark, d)).select("url", c("start_s").cast("int").alias("start_s"))
 
 
-@query(f"SELECT page_id FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(lower(url), '{S.alternation(words('blocked_keywords'))}') AND page_id % 5 <> 0 AND {_ALLOWED} AND strlen(html) >= 3072")
+@query(f"WITH {S.LINKS} SELECT page_id FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(lower(url), '{S.alternation(words('blocked_keywords'))}') AND lower(url) NOT IN (SELECT lower(url) FROM links) AND {_ALLOWED} AND strlen(html) >= 3072")
 def crawl_filter_chain(spark, d):
-    """What a worker lets through: https, no blocked keyword, not crawled (every fifth page is), allowed, not thin."""
-    p = _pages(spark, d).where(c("url").startswith("https://") & ~U.blocked_keyword(c("url")))
-    crawled = _pages(spark, d).where(c("page_id") % 5 == 0).select("page_id")
-    return p.join(crawled, "page_id", "left_anti").join(_allowed(spark, d).where("allowed").select("page_id"), "page_id", "left_semi").where(F.octet_length("html") >= 3072).select("page_id")
+    """What a worker lets through: https, no blocked keyword, not crawled (nothing that is linked to is), allowed, not thin."""
+    p = _pages(spark, d)
+    crawled = html.links(p).select(F.lower("url").alias("key"))
+    fresh = p.where(c("url").startswith("https://") & ~U.blocked_keyword(c("url"))).withColumn("key", F.lower("url")).join(crawled, "key", "left_anti")
+    return fresh.join(_allowed(spark, d).where("allowed").select("page_id"), "page_id", "left_semi").where(F.octet_length("html") >= 3072).select("page_id")
 
 
 def _events(spark, d) -> DataFrame:
@@ -703,8 +842,12 @@ def frontier_health(spark, d):
     return per.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("domains"), F.max("n").alias("deepest"))
 
 
-def search(spark: SparkSession, sf_dir: str, text: str, page: int = 1) -> DataFrame:
-    """Ranked search over pages: url, title, score of one page of results; none if the query doesn't parse."""
+def search(spark: SparkSession, sf_dir: str, text: str, page: int = 1, store: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """Ranked search over pages: url, title, score of one page of results; none if the query doesn't parse.
+
+    Reads the stored index of the pages, which the first search writes. store: the registry to rank by; cap: matches of
+    an index chunk that are ranked at most, all by default.
+    """
     from .plans import query as Q
 
     try:
@@ -713,7 +856,7 @@ def search(spark: SparkSession, sf_dir: str, text: str, page: int = 1) -> DataFr
         tree = None
     if tree is None or not Q.drivable(tree):
         return spark.createDataFrame([], "url string, title string, score double")
-    rows, ws, fs = _ranked(spark, sf_dir, text)
+    rows, ws, fs = _ranked(spark, sf_dir, text, store, cap)
     scored = rows.select("url", "title", rank.total_score(ws, fs).alias("score"))
     return topk.page(scored, page)
 

@@ -1,12 +1,10 @@
-"""Crawl metrics and registry updates as Structured Streaming queries; the same functions serve batches."""
+"""Crawl metrics as Structured Streaming queries; the same functions serve batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import registry
-
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -26,17 +24,3 @@ def rates(events: DataFrame, width: str = "20 seconds", seconds: int = 20, late:
     df = events.withWatermark("ts", late) if late else events
     counts = df.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total", (F.col("n") / seconds).alias("per_second"))
-
-
-def upsert_stream(updates: DataFrame, path: str, checkpoint: str):
-    """Registry kept at path/v<batch>: each micro-batch merges into the last version. Returns the writer.
-
-    A version is written once; a repeated batch writes the same one again.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        store = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        registry.upsert(batch, store).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -91,3 +91,43 @@ def test_upsert(spark):
     assert [(r.url, r.num_encountered, r.seed_distance, r.domain_dist, r.anchor_freqs) for r in first.collect()] == [("http://a/", 3, 3, 1, {"x": 2, "y": 1})]
     again = registry.upsert(spark.createDataFrame([("http://a/", ["y"], 1, 9, 9), ("http://b/", [], 1, 1, 1)], kind), first)
     assert {r.url: (r.num_encountered, r.anchor_freqs) for r in again.collect()} == {"http://a/": (4, {"x": 2, "y": 2}), "http://b/": (1, {})}
+
+
+def test_nested_anchor_words(spark):
+    pages = spark.createDataFrame([(1, '<a href="/x"><b>Big</b> <i>day</i></a><a class=q href="/y">plain</a><a href="/z"></a>')], "page_id long, html string")
+    assert sorted((r.href, r.word) for r in html.anchor_words(pages).collect()) == [("/x", "big"), ("/x", "day"), ("/y", "plain")]
+
+
+def test_embeds(spark):
+    pages = spark.createDataFrame([(1, '<embed type="x" src="/a.swf"><EMBED src="b">'), (2, "<embed>"), (3, None)], "page_id long, html string")
+    assert sorted(tuple(r) for r in html.embeds(pages).collect()) == [(1, "/a.swf"), (1, "b")]
+    assert [u for u, _ in html.scan(b'<embed src="/a.swf">', "http://h/p").links] == ["/a.swf"]
+
+
+def test_robots_decode():
+    assert robots._decoded("/caf%C3%A9/%2f%20x%2") == "/caf\u00e9/%2f x%2" and robots._decoded("%ff%41") == "%ff%41" and robots._decoded("%41%2Fb") == "A%2Fb"
+
+
+def test_robots_settings(spark):
+    body = "User-agent: *\nCrawl-delay: 2\nCrawl-delay: bad\nSitemap: b\nUser-agent: z\nCrawl-delay: 9.5\nSitemap: a\nSitemap: a"
+    rows = robots.site_settings(robots.rules(spark.createDataFrame([("h", body), ("k", "Disallow: /"), ("m", "User-agent: *\nDisallow: /x")], "host string, body string"))).collect()
+    assert {r.host: (r.crawl_delay, r.sitemaps) for r in rows} == {"h": (9.5, ["a", "b"]), "m": (None, [])}
+
+
+def test_hops(spark):
+    links = spark.createDataFrame([("http://a.com/1", "http://a.com/2", 3, 2), ("http://a.com/1", "http://b.com/", None, None)], "src_url string, url string, s int, d int")
+    assert [(r.seed_hops, r.domain_hops) for r in registry.with_hops(links, "s", "d").collect()] == [(4, 2), (1, 1)]
+    assert [(r.seed_hops, r.domain_hops) for r in registry.with_hops(links).collect()] == [(1, 0), (1, 1)]
+
+
+def test_enrich_drops_what_the_registry_lacks(spark):
+    found = spark.createDataFrame([("http://A.com/", 1), ("http://b.com/", 2), ("http://bcdfghjklmn.com/", 3)], "url string, page_id long")
+    store = spark.createDataFrame([("http://a.com/", 7, 1, 0, "T"), ("http://bcdfghjklmn.com/", 1, 1, 1, "T")], "url string, num_encountered long, seed_distance int, domain_dist int, title string").withColumn("anchor_freqs", F.lit(None).cast("map<string,bigint>"))
+    assert [(r.page_id, r.n_seen, r.title, r.anchor_freqs) for r in rank.enrich(found, store).collect()] == [(1, 7, "T", {})]
+    assert tuple(rank.misses(found, store).first()) == (3, 1)
+
+
+def test_rarest_first_and_places(spark):
+    df = spark.createDataFrame([(["b", "a", "c", "b", "new"], {"a": 5, "b": 5, "c": 1}, [2, 4, 9])], "w array<string>, n map<string,bigint>, p array<int>")
+    r = df.select(T.rarest_first(F.col("w"), F.col("n")).alias("w"), T.place_in_sorted(F.col("p"), F.lit(9)).alias("at"), T.place_in_sorted(F.col("p"), F.lit(3)).alias("none")).first()
+    assert (r.w, r.at, r.none) == (["new", "c", "a", "b"], 2, -1)
