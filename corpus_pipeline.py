@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import langid, packing, simhash, suffix, toxicity
-from skein.llm.common import stored, table
+from skein.llm.common import discard, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote is deleted once the next one has read it."""
+    docs, spent = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if spent is not None:
+            discard(spent)
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
