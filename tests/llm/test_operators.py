@@ -918,6 +918,27 @@ def test_large_buckets_in_blocks(spark, block, monkeypatch):
     assert sorted(map(tuple, rabitq.near_pairs(df).collect())) == whole
 
 
+def test_texts_beyond_a_slice(spark):
+    """A text of 5 MB, more than is handled at once, and its copy: every operator reads them whole."""
+    r = np.random.default_rng(12)
+    v = np.array([f"the word{i} of" for i in range(3000)])
+    t = " ".join(v[r.integers(0, 3000, 350_000)])
+    docs = spark.createDataFrame([(1, t, "en"), (2, t + " END", "en"), (3, "the short text of all", "en")], "doc_id long, text string, lang string").repartition(3)
+    n = len(t.split())
+    assert {x.doc_id: x.group_id for x in spotsigs.groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: x.group_id for x in simhash.groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: (x.n_words, x.cut_words) for x in suffix.dedup(docs).select("doc_id", "n_words", "cut_words").collect()} == {1: (n, 0), 2: (n + 1, n), 3: (5, 0)}
+    encoded = pieces.encode(docs, check=True)
+    size = {x.doc_id: x.n_tokens for x in encoded.where("round_trip").select("doc_id", "n_tokens").collect()}
+    assert len(size) == 3 and size[1] < size[2]
+    assert {x.doc_id: x.s for x in packing.pack(docs).selectExpr("explode(arrays_zip(doc_ids, tokens)) z", "truncated").selectExpr("z.doc_ids doc_id", "z.tokens t").groupBy("doc_id").sum("t").withColumnRenamed("sum(t)", "s").collect()} == size
+    model = langid.fit({"en": [t[:50_000]], "fr": ["le chat et le chien"]})
+    assert {x.doc_id: (x.accepted, x.lang) for x in langid.identify(docs.where("doc_id < 3"), model).collect()} == {1: (True, "en"), 2: (True, "en")}
+    bad, good = toxic_world(7)
+    rows = {x.doc_id: x.windows for x in toxicity.classify(docs, toxicity.fit(bad[:100], good[:200])).collect()}
+    assert rows == {1: -(-n // 16), 2: -(-(n + 1) // 16), 3: 1}
+
+
 def test_fixed_randomness():
     assert zlib.crc32(simhash.band_positions().astype(np.int16).tobytes()) == zlib.crc32(simhash.band_positions().astype(np.int16).tobytes())
     q = rabitq.rotation(64)
