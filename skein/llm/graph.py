@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder, so a lost executor costs one round at most. Null ends and loops are left out.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    before = _digest(e)
+    while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
         large = stored(low.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
@@ -28,13 +28,18 @@ def components(edges: DataFrame) -> DataFrame:
         spent, e = [e, large], stored(small.where("a <> b").distinct(), "edges")
         for x in spent:
             discard(x)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == tuple(now):
+        now = _digest(e)
+        if before == now:
             break
-        before = tuple(now)
+        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def _digest(e: DataFrame) -> tuple:
+    """(number of edges, a sum of their hashes): equal for equal edge tables."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (each the least row of its component, so far) after the edges a-b."""
     while len(a):
