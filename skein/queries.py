@@ -12,7 +12,7 @@ from . import sql as S
 from .data import words
 from .functions import text as T
 from .functions import urls as U
-from .operators import html, index, rank, registry, retrieve, robots, topk
+from .operators import crawl, html, index, rank, registry, retrieve, robots, topk
 from .sources.tables import read_registry, seeds, shared_dir, table, write_registry
 from .streaming import metrics
 
@@ -818,6 +818,16 @@ def crawl_filter_chain(spark, d):
     return fresh.join(_allowed(spark, d).where("allowed").select("page_id"), "page_id", "left_semi").where(F.octet_length("html") >= 3072).select("page_id")
 
 
+@query(f"""WITH {S.LINKS} SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'not https' WHEN regexp_matches(lower(url), '{S.alternation(words('blocked_keywords'))}') THEN 'blocked'
+    WHEN lower(url) IN (SELECT lower(url) FROM links) THEN 'crawled' WHEN NOT {_ALLOWED} THEN 'disallowed' WHEN strlen(html) < 3072 THEN 'thin' ELSE 'parsed' END AS outcome FROM pages""")
+def crawl_outcomes(spark, d):
+    """What a worker does with each page as a target: all of them answer with their length."""
+    p = _pages(spark, d)
+    known = html.links(p).select("url").distinct().withColumn("crawled", F.lit(True))
+    may = _allowed(spark, d).where("allowed").select("url")
+    return crawl.outcomes(p.select("page_id", "url"), known, may, p.select("url", F.octet_length("html").alias("status"))).select("page_id", "outcome")
+
+
 def _events(spark, d) -> DataFrame:
     return table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
 

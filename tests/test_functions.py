@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import urls as U
-from skein.operators import html, rank, registry, robots
+from skein.operators import crawl, html, rank, registry, robots
 
 
 def one(spark, make, *values):
@@ -131,3 +131,24 @@ def test_rarest_first_and_places(spark):
     df = spark.createDataFrame([(["b", "a", "c", "b", "new"], {"a": 5, "b": 5, "c": 1}, [2, 4, 9])], "w array<string>, n map<string,bigint>, p array<int>")
     r = df.select(T.rarest_first(F.col("w"), F.col("n")).alias("w"), T.place_in_sorted(F.col("p"), F.lit(9)).alias("at"), T.place_in_sorted(F.col("p"), F.lit(3)).alias("none")).first()
     assert (r.w, r.at, r.none) == (["new", "c", "a", "b"], 2, -1)
+
+
+def test_crawl_outcomes(spark):
+    urls = {"http://a.com/": "not https", "https://a.com/casino": "blocked", "https://a.com/Known": "crawled", "https://a.com/no": "disallowed", "https://a.com/busy": "busy", "https://a.com/404": "refused", "https://a.com/lost": "failed", "https://a.com/none": "failed", "https://a.com/thin": "thin", "https://a.com/ok": "parsed"}
+    status = {"https://a.com/busy": -4, "https://a.com/404": -3, "https://a.com/lost": -1, "https://a.com/thin": 3071, "https://a.com/ok": 3072}
+    blocked = next(k for k in urls if urls[k] == "blocked")
+    t = spark.createDataFrame([(u,) for u in urls], "url string")
+    store = spark.createDataFrame([("https://a.com/known", True), ("https://a.com/ok", False)], "url string, crawled boolean")
+    done = crawl.outcomes(t, store, t.where("url not like '%/no'"), spark.createDataFrame(list(status.items()), "url string, status int"))
+    got = {r.url: r.outcome for r in done.collect()}
+    assert got | {blocked: "blocked"} == urls and got[blocked] in ("blocked", "failed")
+    assert {r.url for r in crawl.crawled_marks(done).collect()} == {"https://a.com/thin", "https://a.com/ok"}
+
+
+def test_repl():
+    from types import SimpleNamespace
+
+    from skein import repl
+
+    pages = {("x", 1): [SimpleNamespace(url="u", title="T", score=0.5)], ("x", 2): []}
+    assert list(repl.answers(["x", "+", "", "never"], lambda q, n: pages[q, n])) == ["  1. 0.5000  T  u", "1 results on page 1", "0 results on page 2"]
