@@ -34,6 +34,9 @@ CHAIN = 3
 LEAST_SIGNATURES = 3
 #: Sets of a bucket that are solved together; larger buckets are split into blocks.
 BLOCK = 4096
+#: A signature that the heavy table counts more often goes to its blocks at once: the window that looks for buckets with the
+#: same sets would be one task's.
+WINDOW_ROWS = 1 << 20
 #: Entries of the table of heavy signatures, and the count in one batch of rows from which one is looked at.
 HEAVY, HEAVY_LOCAL = 100_000, 4
 ANCHORS = "the a an is le la un une est der die das ein ist el una es".split()
@@ -231,18 +234,22 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             nth = np.arange(len(flat)) - off[row]
             on = nth < prefix_size(size, threshold)[row]
             key, of = flat[by][on], pa.array(row[on])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node").take(of), pa.array((size[row] - nth - 1)[on].astype(np.int32))], ["key", "node", "rest"])
+            blocks = np.where(weight > window_rows, -(-weight // block), 0)[by][on]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node").take(of), pa.array((size[row] - nth - 1)[on].astype(np.int32)), pa.array(blocks.astype(np.int32))], ["key", "node", "rest", "blocks"])
 
-    shared = nodes.select("node", "sigs").mapInArrow(prefixes, "key long, node long, rest int")
+    window_rows, block = WINDOW_ROWS, BLOCK
+    every = nodes.select("node", "sigs").mapInArrow(prefixes, "key long, node long, rest int, blocks int")
+    shared = every.where("blocks = 0").select("key", "node", "rest")
     # Near copies share many signatures, whose buckets hold the same texts: one of such buckets is enough. The
     # bound on what lies behind the first shared signature is the largest of theirs.
     at = Window.partitionBy("key")
     often = shared.withColumns({"m": F.count("*").over(at), "b1": F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(at), "b2": F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(20,0)")).over(at)}).where("m > 1")
     buckets = often.groupBy("m", "b1", "b2", "node").agg(F.max("rest").alias("rest")).withColumn("key", F.xxhash64("m", "b1", "b2"))
+    buckets = buckets.select("key", "node", "rest", F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(0).cast("int").alias("blocks")).unionByName(every.where("blocks > 0"))
     # every two blocks of a large bucket meet under a key of their own
-    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    count = F.greatest("blocks", F.lit(2))
     own = F.pmod(F.xxhash64("node"), count).cast("int")
-    others = F.when(F.col("m") <= BLOCK, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), count - 1), lambda x: x != F.col("own")))
+    others = F.when(F.col("blocks") == 0, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), count - 1), lambda x: x != F.col("own")))
     met = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     buckets = buckets.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("key", met)
     listed = buckets.groupBy("node").agg(F.collect_list(F.struct("key", "rest")).alias("keys"))

@@ -115,11 +115,12 @@ def test_spotsigs_equal_texts_of_any_length(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11, 12: 11, 13: 13}
 
 
-@pytest.mark.parametrize("block", [2, 9])
-def test_spotsigs_blocks_change_nothing(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "window"), [(2, 1 << 20), (9, 12)])
+def test_spotsigs_blocks_change_nothing(spark, monkeypatch, block, window):
     docs = spark.createDataFrame(corpus(3, 160), "doc_id long, text string")
     whole = sorted(map(tuple, spotsigs.groups(docs).collect()))
     monkeypatch.setattr(spotsigs, "BLOCK", block)
+    monkeypatch.setattr(spotsigs, "WINDOW_ROWS", window)
     assert sorted(map(tuple, spotsigs.groups(docs).collect())) == whole
 
 
