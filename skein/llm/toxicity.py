@@ -17,8 +17,9 @@ windows found at most 24 in 100 toxic texts at 0.5 % false alarms; hashed words
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import slices, words
+from .common import discard, slices, stored, words
 
 #: Words in a window.
 WINDOW = 16
@@ -38,8 +39,10 @@ SPAN = 16
 LONG = 10_000
 #: Labelled documents of each class that are sampled; half train, half calibrate.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 6000
-#: Longer texts don't take part in the sample; with the numbers above this bounds what comes to the driver.
+#: Longer texts don't take part in the sample; with the numbers above this bounds its size.
 SAMPLE_BYTES = 1 << 16
+#: A sample of at most so many bytes is fitted on the driver. A larger one stays in the shared folder and is read by tasks: the model is the same.
+LOCAL_BYTES = 1 << 25
 TOXIC_DICT, ORDINARY_DICT = 8192, 16384
 #: Runs of words that a dictionary is trained on at most, spread evenly over the sample; bounds the trainer's memory.
 DICTIONARY_RUNS = 40_000
@@ -116,35 +119,92 @@ def _toxic(model: ToxicModel, rate: np.ndarray, span: np.ndarray) -> np.ndarray:
     return (rate >= model.threshold) | (span >= model.span_threshold)
 
 
-def _sliced(texts: list[str]) -> Iterator[pa.Array]:
-    """Runs of texts small enough for the word scanner's temporaries, which are many times the text."""
+class Stored:
+    """Texts that stay in a table (nth, text): those numbered at, in this order. A list of them, as far as fit() needs one."""
+
+    def __init__(self, rows: DataFrame, at: np.ndarray):
+        self.rows, self.at = rows, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, some: slice | np.ndarray) -> Stored:
+        return Stored(self.rows, self.at[some])
+
+    def run(self, f: Callable[[np.ndarray, pa.Array], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What f makes of runs of texts, given their places among those wanted."""
+        wanted = self.at
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nth = batch.column("nth").to_numpy()
+                place = np.minimum(np.searchsorted(wanted, nth), max(len(wanted) - 1, 0))
+                on = wanted[place] == nth if len(wanted) else np.zeros(len(nth), bool)
+                for run in slices(pa.RecordBatch.from_arrays([pa.array(place[on]), batch.column("text").filter(pa.array(on))], ["place", "text"]), limit=1 << 20):
+                    yield from f(run.column("place").to_numpy(), run.column("text"))
+
+        return self.rows.select("nth", "text").mapInArrow(part, schema)
+
+
+Texts = list[str] | Stored
+
+
+def _over(texts: Texts, f: Callable[[np.ndarray, pa.Array], tuple]) -> list[tuple]:
+    """f(places, texts) of runs of texts, in the order of their first places, which f's results begin with.
+
+    Runs are small enough for the word scanner's temporaries, which are many times the text."""
+    if isinstance(texts, Stored):
+        pickled = texts.run(lambda place, col: iter([pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(place, col))])], ["out"])]), "out binary").collect()
+        return [pickle.loads(r.out) for r in pickled]
+    out, first = [], 0
     for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), limit=1 << 20):
-        yield part.column("text")
+        out.append(f(np.arange(first, first + part.num_rows), part.column("text")))
+        first += part.num_rows
+    return out
+
 
+def _each(texts: Texts, f: Callable[[pa.Array], tuple], like: tuple) -> tuple[np.ndarray, ...]:
+    """f's arrays, an entry a text, of all texts in order. like: an empty array of each kind."""
+    parts = _over(texts, lambda place, col: (place, *f(col)))
+    order = np.argsort(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]), kind="stable")
+    return tuple(np.concatenate([x, *(p[k + 1] for p in parts)])[order] for k, x in enumerate(like))
 
-def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, the same once per text)."""
-    every, once = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for col in _sliced(texts):
+
+def _once(col: pa.Array) -> np.ndarray:
+    """Hashes of the words of each text, once per text."""
+    w = words(col, normalised=True)
+    return np.concatenate([np.zeros(0, np.uint64), *(np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:]))])
+
+
+def _spread_runs(texts: Texts, per: int) -> np.ndarray:
+    """Word hashes of the texts one after another, in whole runs of per; where there are more than DICTIONARY_RUNS, so many, spread evenly."""
+    (count,) = _each(texts, lambda col: (np.diff(words(col, normalised=True).first),), (np.zeros(0, np.int64),))
+    n = int(count.sum()) // per
+    wanted = np.zeros(n + 1, bool)  # the last stands for the words that are left over
+    wanted[np.arange(n) if n <= DICTIONARY_RUNS else np.linspace(0, n - 1, DICTIONARY_RUNS).astype(np.int64)] = True
+    begin = np.cumsum(count) - count
+
+    def picked(place: np.ndarray, col: pa.Array) -> tuple:
         w = words(col, normalised=True)
-        every.append(w.hash)
-        for a, b in zip(w.first[:-1], w.first[1:]):
-            once.append(np.unique(w.hash[a:b]))
-    return np.concatenate(every), np.concatenate(once)
+        on = wanted[(begin[place][w.doc] + np.arange(len(w.doc)) - w.first[w.doc]) // per]
+        return place[w.doc[on]], w.hash[on]
+
+    parts = _over(texts, picked)
+    order = np.argsort(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]), kind="stable")
+    return np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])[order]
 
 
-def _apart_from_copies(texts: list[str]) -> list[str]:
-    prints = np.concatenate([np.zeros((0, simhash.BITS // 64), np.uint64), *(simhash.fingerprints(col)[0] for col in _sliced(texts))])
+def _apart_from_copies(texts: Texts) -> Texts:
+    (prints,) = _each(texts, lambda col: simhash.fingerprints(col)[:1], (np.zeros((0, simhash.BITS // 64), np.uint64),))
     if not len(prints):
-        return []
-    first = simhash.near_in_buckets(prints, np.array([0])) == np.arange(len(prints))
-    return [t for t, on in zip(texts, first) if on]
+        return texts
+    first = np.flatnonzero(simhash.near_in_buckets(prints, np.array([0])) == np.arange(len(prints)))
+    return texts[first] if isinstance(texts, Stored) else [texts[i] for i in first]
 
 
-def _rates(model: ToxicModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rates(model: ToxicModel, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes saved per word, windows, most saved in a run of SPAN windows) of each text."""
-    parts = [_measured(model, col) for col in _sliced(texts)]
-    return tuple(np.concatenate([np.zeros(0), *(p[k] for p in parts)]) for k in (0, 2, 4))
+    return _each(texts, lambda col: tuple(_measured(model, col)[k] for k in (0, 2, 4)), (np.zeros(0),) * 3)
 
 
 def _cut(bad: np.ndarray, good: np.ndarray) -> float:
@@ -171,30 +231,44 @@ def _dictionary(tokens: np.ndarray, per: int, size: int) -> bytes:
         return b"".join(cut)[-size:]
 
 
-def _joined(texts: list[str]) -> list[str]:
+def _joined(texts: Texts) -> Texts:
     """The texts one after another, in texts of about LONG words."""
-    upto = np.cumsum([len(t.split()) for t in texts]) // LONG
-    return [" ".join(texts[a:b]) for a, b in zip(np.searchsorted(upto, np.unique(upto)), np.searchsorted(upto, np.unique(upto), side="right"))]
+    (count,) = _each(texts, lambda col: (np.array([len(t.split()) for t in col.to_pylist()], np.int64),), (np.zeros(0, np.int64),))
+    groups, group = np.unique(np.cumsum(count) // LONG, return_inverse=True)
+    if isinstance(texts, Stored):
+        cut = lambda place, col: iter([pa.RecordBatch.from_arrays([pa.array(group[place]), pa.array(place), col], ["nth", "place", "text"])])
+        each = texts.run(cut, "nth long, place long, text string").groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
+        return Stored(each.select("nth", F.array_join("all.text", " ").alias("text")), np.arange(len(groups)))
+    ends = np.searchsorted(group, np.arange(len(groups) + 1))
+    return [" ".join(texts[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def telling_words(toxic: list[str], ordinary: list[str]) -> np.ndarray:
+def telling_words(toxic: Texts, ordinary: Texts) -> np.ndarray:
     """Hashes of the words in at least LEAST_TEXTS toxic texts and in LEAST_RATIO times the share of ordinary ones (half a text at least)."""
-    kinds, n = np.unique(_word_hashes(toxic)[1], return_counts=True)
-    known, m = np.unique(_word_hashes(ordinary)[1], return_counts=True)
+    kinds, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for (x,) in _over(toxic, lambda _, col: (_once(col),)))]), return_counts=True)
+    kinds, n = kinds[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS]
+    if not len(kinds):
+        return kinds
+
+    def held(_: np.ndarray, col: pa.Array) -> tuple:
+        once = _once(col)
+        i = np.minimum(np.searchsorted(kinds, once), len(kinds) - 1)
+        found, m = np.unique(i[kinds[i] == once], return_counts=True)
+        return found.astype(np.int32), m.astype(np.int32)
+
     there = np.zeros(len(kinds), np.int64)
-    if len(known):
-        i = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
-        there = np.where(known[i] == kinds, m[i], 0)
+    for found, m in _over(ordinary, held):
+        there[found] += m
     rate, other = n / max(len(toxic), 1), (there + 0.5) / max(len(ordinary), 1)
-    return kinds[(n >= LEAST_TEXTS) & (rate >= LEAST_RATIO * other)]
+    return kinds[rate >= LEAST_RATIO * other]
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
+def fit(toxic: Texts, ordinary: Texts) -> ToxicModel:
     """Dictionaries from every other text, the threshold from the others. Copies and near copies count once:
     else the rare words of a toxic text that was copied would look like what sets toxic texts apart."""
     toxic, ordinary = _apart_from_copies(toxic), _apart_from_copies(ordinary)
     apart = telling_words(toxic[::2], ordinary[::2])
-    plain = _word_hashes(ordinary[::2])[0]
+    plain = _spread_runs(ordinary[::2], 16)
     # every word that sets toxic texts apart stands as often in what the dictionary is trained on, so that rarer languages' words get in too.
     # Windows of toxic text around those words did worse: their ordinary words save bytes in clean texts as well
     shuffled = np.random.default_rng(8)
@@ -213,7 +287,11 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     The sample holds the SAMPLE_TOXIC and SAMPLE_ORDINARY labelled ids whose hashes are lowest;
     rows without id, label or text and texts of more than SAMPLE_BYTES bytes don't take part, an id
-    labelled both ways counts as toxic. Without toxic labels there is a warning, and nothing is toxic.
+    labelled both ways counts as toxic. Where rows share ids, equal ones count once, and of the others
+    so many again stay, by their hashes. Without toxic labels there is a warning, and nothing is toxic.
+
+    The sample is written to the shared folder and deleted at the end. Up to LOCAL_BYTES of it come to
+    the driver; of a larger one only fingerprints, words of toxic texts, counts, scores and runs do.
     """
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     at_most = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)
@@ -221,14 +299,27 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= SAMPLE_ORDINARY) & (F.col("nth") <= at_most))
     )
-    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    # SAMPLE_TOXIC + SAMPLE_ORDINARY rows by construction
+    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("bad"))
     usable = docs.where("doc_id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted(tuple(r) for r in usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect())
-    toxic, ordinary = ([t for _, t, bad in rows if (bad == 1) == wanted] for wanted in (True, False))
-    if not toxic:
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    w = Window.partitionBy("bad").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h")
+    keys = usable.select("doc_id", "h").join(F.broadcast(picked), "doc_id").distinct().withColumn("nth", F.row_number().over(w))
+    keys = keys.where((F.col("nth") <= SAMPLE_ORDINARY) & (F.col("nth") <= F.when(F.col("bad"), SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)))
+    # SAMPLE_TOXIC + SAMPLE_ORDINARY rows by construction
+    keys = stored(keys.withColumn("nth", F.row_number().over(Window.partitionBy("bad").orderBy("doc_id", "h")).cast("long") - 1), "keys")
+    sample = stored(usable.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("bad", "nth").agg(F.min("text").alias("text")), "sample")
+    held = {r.bad: r for r in sample.groupBy("bad").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    if sum(r["size"] for r in held.values()) <= LOCAL_BYTES:
+        rows = sorted(tuple(r) for r in sample.select("nth", "text", "bad").collect())
+        toxic, ordinary = ([t for _, t, bad in rows if bad == wanted] for wanted in (True, False))
+    else:
+        toxic, ordinary = (Stored(sample.where(F.col("bad") == wanted), np.arange(held[wanted].n if wanted in held else 0)) for wanted in (True, False))
+    if not len(toxic):
         warnings.warn("no row is labelled toxic: the model calls nothing toxic", stacklevel=2)
-    return fit(toxic, ordinary)
+    model = fit(toxic, ordinary)
+    discard(keys)
+    discard(sample)
+    return model
 
 
 RESULT = T.StructType([

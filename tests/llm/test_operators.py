@@ -719,6 +719,35 @@ def test_toxicity_dictionary_sees_the_whole_sample():
     assert toxicity.SAMPLE_ORDINARY >= 6000
 
 
+def test_toxicity_large_sample_stays_in_the_table(spark, monkeypatch):
+    bad, good = toxic_world(7)
+    texts = [" ".join([t] * 3) for t in bad[:200] + good[:600]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(800)], "doc_id long, toxic int")
+    want = toxicity.fit(texts[:200], texts[200:])
+    assert toxicity.train(docs, labels) == want
+    monkeypatch.setattr(toxicity, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(toxicity, "DICTIONARY_RUNS", 300)
+    few, collect, got = toxicity.fit(texts[:200], texts[200:]), type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.append(collect(df)) or got[-1])
+    assert toxicity.train(docs, labels) == few
+    came = [x for rows in got for r in rows for x in r if isinstance(x, str | bytes)]
+    assert few != want and not set(texts) & set(came) and sum(map(len, came)) < sum(map(len, texts)) / 2
+
+
+def test_toxicity_sample_is_bounded_where_rows_share_ids(spark, monkeypatch):
+    bad, good = toxic_world(7)
+    docs = spark.createDataFrame([(i % 2, t) for i, t in enumerate(bad[:60] + good[:60])] + [(1, bad[1])] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 30)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *x: seen.extend(x))
+    toxicity.train(docs, labels)
+    assert [len(x) for x in seen] == [len(set(x)) for x in seen] == [20, 30]
+    assert set(seen[0]) <= set((bad[:60] + good[:60])[1::2]) and set(seen[1]) <= set((bad[:60] + good[:60])[::2])
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, 0), (99, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
