@@ -203,14 +203,17 @@ def bm25(tf: Column, doc_len: Column, df: Column, n: Column, k1: float = 1.2, b:
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / mean))
 
 
-def enrich(found: DataFrame, registry: DataFrame) -> DataFrame:
+def enrich(found: DataFrame, registry: DataFrame, key: str | None = None) -> DataFrame:
     """Candidates (url, ...) with their registry row: n_seen, seed_distance, domain_dist, anchor_freqs, and its title unless
-    they bring one. Those without a row, and those on gibberish hosts, go."""
+    they bring one. Those without a row, and those on gibberish hosts, go.
+
+    key: a column of both to join by in place of the URL, where pages may share one and each has a row of its own."""
+    of = (lambda: F.lower("url")) if key is None else (lambda: F.col(key))
     own = registry.select(
-        F.lower("url").alias("__key"), F.col("num_encountered").alias("n_seen"), "seed_distance", "domain_dist", F.coalesce("anchor_freqs", F.create_map().cast("map<string,bigint>")).alias("anchor_freqs"),
+        of().alias("__key"), F.col("num_encountered").alias("n_seen"), "seed_distance", "domain_dist", F.coalesce("anchor_freqs", F.create_map().cast("map<string,bigint>")).alias("anchor_freqs"),
         *([] if "title" in found.columns else [F.coalesce("title", F.lit("")).alias("title")]),
     )
-    return found.where(~U.gibberish(U.bare_host(F.col("url")))).join(own, F.lower("url") == F.col("__key")).drop("__key")
+    return found.where(~U.gibberish(U.bare_host(F.col("url")))).join(own, of() == F.col("__key")).drop("__key")
 
 
 def misses(found: DataFrame, registry: DataFrame) -> DataFrame:
@@ -219,7 +222,7 @@ def misses(found: DataFrame, registry: DataFrame) -> DataFrame:
     return found.join(own, F.lower("url") == F.col("__key"), "left").agg(F.count("*").alias("total"), F.count_if(F.col("__there").isNull()).alias("misses"))
 
 
-def score_of(urls: DataFrame, candidates: DataFrame, words: list[str], freqs: list[int], url_col: str = "url") -> DataFrame:
-    """urls with score: that of the one candidate with the URL, -1 where there is none."""
-    own = candidates.groupBy(F.col("url").alias("__url")).agg(F.max(total_score(words, freqs)).alias("score"))
+def score_of(urls: DataFrame, candidates: DataFrame, words: list[str], freqs: list[int], url_col: str = "url", key: str = "url") -> DataFrame:
+    """urls with score: that of the candidate whose key (its URL by default) is in url_col, the best where several share it, -1 where there is none."""
+    own = candidates.groupBy(F.col(key).alias("__url")).agg(F.max(total_score(words, freqs)).alias("score"))
     return urls.join(own, F.col(url_col) == F.col("__url"), "left").withColumn("score", F.coalesce("score", F.lit(-1.0))).drop("__url")

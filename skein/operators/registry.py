@@ -51,13 +51,13 @@ def bucket(score: Column) -> Column:
 STORE = {"url": "string", "num_encountered": "bigint", "seed_distance": "int", "domain_dist": "int", "eot": "int", "eod": "int", "title": "string", "crawled": "boolean", "anchor_freqs": "map<string,bigint>"}
 
 
-def as_store(rows: DataFrame) -> DataFrame:
-    """rows with all columns of STORE, in lower case by url: what is missing is null, anchors are an empty map."""
+def as_store(rows: DataFrame, *extra: str) -> DataFrame:
+    """rows with all columns of STORE, and extra ones as they are, in lower case by url: what is missing is null, anchors are an empty map."""
     have = {c: F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t) for c, t in STORE.items()}
     have["url"] = F.lower("url")
     have["crawled"] = F.coalesce(have["crawled"], F.lit(False))
     have["anchor_freqs"] = F.coalesce(have["anchor_freqs"], F.create_map().cast("map<string,bigint>"))
-    return rows.select(*(v.alias(c) for c, v in have.items()))
+    return rows.select(*(v.alias(c) for c, v in have.items()), *extra)
 
 
 def upsert(updates: DataFrame, store: DataFrame | None = None, insert_filter: bool = False, capacity: int | None = None, first_seen: str | None = None) -> DataFrame:
