@@ -166,10 +166,11 @@ class Index:
         return self.postings.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
-def build(docs: DataFrame, path: str, words: Column | None = None, id_col: str = "doc_id", keep: tuple[str, ...] = (), chunk_docs: int = CHUNK_DOCS, chunk_bytes: int = CHUNK_BYTES) -> Index:
+def build(docs: DataFrame, path: str, words: Column | None = None, id_col: str = "doc_id", keep: tuple[str, ...] = (), chunk_docs: int = CHUNK_DOCS, chunk_bytes: int | None = CHUNK_BYTES) -> Index:
     """Writes the index of docs to path, which must not exist, and opens it.
 
     words: the column of word lists, by default those of text. keep: columns kept in the documents table (url, title).
+    chunk_bytes: None for chunks that end at chunk_docs documents only.
     Texts are tokenised once; postings are shuffled once, into term order; the dictionary is counted from what was written.
     """
     spark = docs.sparkSession
@@ -177,7 +178,7 @@ def build(docs: DataFrame, path: str, words: Column | None = None, id_col: str =
     own.write.mode("errorifexists").parquet(f"{path}/words")
     held = spark.read.schema(own.schema).parquet(f"{path}/words")
     lengths = held.select("doc_id", *keep, F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("doc_len"))
-    chunked(lengths, chunk_docs, weight=F.col("doc_len") * POST_BYTES, limit=chunk_bytes).write.parquet(f"{path}/documents")
+    (chunked(lengths, chunk_docs) if chunk_bytes is None else chunked(lengths, chunk_docs, weight=F.col("doc_len") * POST_BYTES, limit=chunk_bytes)).write.parquet(f"{path}/documents")
     documents = spark.read.parquet(f"{path}/documents")
     of = documents.select("doc_id", "chunk").distinct()
     write(postings_of(held, "doc_id", F.col("words")).join(of, "doc_id"), f"{path}/postings")
