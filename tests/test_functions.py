@@ -152,3 +152,25 @@ def test_repl():
 
     pages = {("x", 1): [SimpleNamespace(url="u", title="T", score=0.5)], ("x", 2): []}
     assert list(repl.answers(["x", "+", "", "never"], lambda q, n: pages[q, n])) == ["  1. 0.5000  T  u", "1 results on page 1", "0 results on page 2"]
+
+
+def test_scanned_words_equal_the_rules(spark):
+    import random
+
+    import pyarrow as pa
+
+    from skein.functions import scan
+
+    r = random.Random(3)
+    texts = [None, "", *WORDS, *("".join(r.choice(list("aZ19 ,.:'-é Â’\n_")) for _ in range(r.randrange(14))) for _ in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    want = dict(rows.select("i", F.coalesce(T.words_of(F.col("t")), F.array().cast("array<string>"))).collect())
+    for size in (1, 3000):  # texts one by one, and many at once
+        at = 0
+        for part in scan.runs(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), limit=size):
+            flat, n = scan.scan(part.column("text"))
+            flat = flat.to_pylist()
+            for k in n.tolist():
+                assert flat[:k] == want[at], texts[at]
+                flat, at = flat[k:], at + 1
+        assert at == len(texts)

@@ -228,3 +228,50 @@ def test_log():
     log.logger("y").debug("unsaid")
     log.logging.getLogger("skein").removeHandler(handler)
     assert "INFO skein.x: said" in out.getvalue() and "unsaid" not in out.getvalue()
+
+
+def test_index_in_many_parts(spark, tmp_path, monkeypatch):
+    """Postings are in ranges of (term, doc_id), each whole; documents come back from them, rows that share an id as one."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(index, "PART_TOKENS", 64)
+    monkeypatch.setattr(index, "PACK_ROWS", 100)
+    texts = {i: " ".join(["the", f"w{i % 7}", "x" * 40 + str(i % 3), f"only{i}", "the", "end"][: 1 + i % 6]) for i in range(400)}
+    docs = spark.createDataFrame([*texts.items(), (5, "the b"), (5, "a"), (-7, "minus")], "doc_id long, text string").repartition(3)
+    own = index.build(docs, str(tmp_path / "i"), chunk_docs=50, chunk_bytes=None)
+    post = own.postings.collect()
+    assert len(post) == own.postings.where("size(pos) = tf").count() == sum(len(set(t.split())) for t in texts.values()) + 4
+    of = {r.doc_id: r.chunk for r in own.documents.where("doc_id <> 5").collect()}
+    assert all(r.chunk == of[r.doc_id] for r in post if r.doc_id != 5)
+    files = [pq.read_table(f).select(["term", "doc_id"]).to_pylist() for f in glob.glob(f"{tmp_path}/i/postings/*.parquet")]
+    spans = sorted([(r["term"], r["doc_id"]) for r in rows] for rows in files if rows)
+    assert len(spans) > 4 and all(s == sorted(s) for s in spans) and all(a[-1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(any(t == "the" for t, _ in s) for s in spans) > 2
+    back = {r.doc_id: r.words for r in index.rebuild(own.postings).collect()}
+    assert {k: v for k, v in back.items() if k not in (5, -7)} == {k: t.split() for k, t in texts.items() if k != 5}
+    assert back[-7] == ["minus"] and back[5] == [w for _, w in sorted((i, w) for t in (texts[5], "the b", "a") for i, w in enumerate(t.split()))]
+
+
+def test_build_shuffles_packed_rows(spark, tmp_path):
+    """No join of the postings, whatever the size of the documents table; one shuffle of them, in few rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(2000).selectExpr("id AS doc_id", "concat('the of w', id, ' a b c d e f') AS text")
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup("build", "")
+        own = index.build(docs, str(tmp_path / "i"))
+        spark.sparkContext.setJobGroup("", "")
+        stages = {s for j in tracker.getJobIdsForGroup("build") for s in tracker.getJobInfo(j).stageIds}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store, wrote = spark.sparkContext._jsc.sc().statusStore(), []
+        for s in stages:
+            try:
+                wrote.append(store.lastStageAttempt(s).shuffleWriteRecords())
+            except Exception:  # noqa: BLE001, S112 - a stage that was skipped
+                continue
+        assert own.postings.count() == 18000
+        assert wrote and max(wrote) < 18000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
