@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import langid, packing, simhash, suffix, toxicity
-from skein.llm.common import discard, stored, table
+from skein.llm.common import bound_batches, discard, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +24,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies."""
+    bound_batches(spark)
     return simhash.keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand in an earlier document or earlier in the same one; drops what is left without words."""
+    bound_batches(spark)
     return suffix.drop_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of token ids in document order, with the documents whose tokens they are."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 

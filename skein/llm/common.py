@@ -19,12 +19,25 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Bytes hashed at once.
 HASH_BYTES = 1 << 17
+#: Bytes of an Arrow batch, and rows of a Parquet reader's, at most. Readers hold a whole batch of texts, and twice that while it
+#: grows: Spark's 4096 rows and 64 MB are hundreds of MB a task where texts are long. Results don't depend on either.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 256}
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes to BATCHES, where they are larger or unbounded; smaller ones stay."""
+    for key, most in BATCHES.items():
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -165,7 +165,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
 
     The sample is the sample_docs rows of each language whose doc_id hashes lowest: the same
     rows however the table is split, chosen from two narrow columns before any text is read.
-    Rows without id, text or language and texts of more than SAMPLE_BYTES bytes don't take part.
+    Rows without id, text or language and texts of more than SAMPLE_BYTES bytes don't take part;
+    where rows share ids, so many of a language again stay, by their hashes.
     """
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = [
@@ -174,7 +175,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
         .withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample_docs).select("doc_id").collect()
     ]
     samples: dict[str, list[str]] = {}
-    rows = docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang", "text").collect() if ids else []
+    usable = docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+    rows = usable.select("doc_id", "lang", "text").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample_docs).collect() if ids else []
     for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
     return fit(samples, order)

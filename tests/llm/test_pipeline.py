@@ -70,3 +70,35 @@ def test_queries(spark, sf):
             assert sorted(tuple(x[c] for c in cols) for x in rows) == sorted(tuple(x[i] for i in at) for x in r.fetchall())
         else:
             assert rows
+
+
+def test_rows_that_share_ids_do_not_swell_the_language_sample(spark, monkeypatch):
+    from skein.llm import langid
+
+    rows = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda samples, order: seen.update(samples))
+    langid.train(rows, sample_docs=10)
+    assert {k: len(set(v)) for k, v in seen.items()} == {"en": 10, "de": 10}
+    again = dict(seen)
+    langid.train(rows.repartition(7), sample_docs=10)
+    assert seen == again
+
+
+def test_stages_bound_batches(spark, sf):
+    from skein.llm.common import BATCHES
+
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for _, stage in P.STAGES:
+            for k in BATCHES:
+                spark.conf.set(k, str(1 << 28))
+            stage(spark, docs, sf)
+            assert all(int(spark.conf.get(k)) <= most for k, most in BATCHES.items())
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "7")
+        P.pack(spark, docs, sf)
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
